@@ -1,7 +1,7 @@
 """The registered queries of this subpackage and their SQL."""
 
-from . import decontaminate, dedup, urls
+from . import chat, decontaminate, dedup, pack, toxicity, urls
 
-MODULES = (dedup, urls, decontaminate)
+MODULES = (dedup, chat, urls, toxicity, decontaminate, pack)
 SQL = {k: v for m in MODULES for k, v in getattr(m, "SQL", {}).items()}
 QUERIES = {k: f for m in MODULES for k, f in vars(m).items() if k.startswith("op") and k[2:3].isdigit() and callable(f)}
