@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, hot_left_join, table
+from .common import BLANKS, hot_left_join, table, written
 
 #: A digest's rows from different input partitions meet in so many groups first.
 SALTS = 64
@@ -44,7 +44,7 @@ def exact_dedup(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     """
     norm = F.regexp_replace(F.coalesce("text", F.lit("")), BLANKS, " ")
     rows = docs.select("doc_id", F.unhex(F.sha2(norm, 256)).alias("digest"))
-    out = hot_left_join(rows, exact_groups(docs, salts), ["digest"], "group_size", "doc_id")
+    out = hot_left_join(rows, written(exact_groups(docs, salts)), ["digest"], "group_size", "doc_id")
     kept = F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull())
     return out.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
