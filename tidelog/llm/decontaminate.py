@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, table
+from .common import lower_ascii, table, written
 
 #: Words of a window, and of a k-gram. A window holds WINDOW - GRAM + 1 k-grams,
 #: the least of which both sides select: no shared window can be missed.
@@ -90,7 +90,8 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
         grams = _let(word_array(F.col("text")), lambda w, n=n: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.struct(i.alias("at"), _joined(w, i, n).alias("window")))))
         some = docs.select("doc_id", F.lit(n).alias("n"), F.explode(grams).alias("x"))
         maybe = maybe.unionByName(some.select("doc_id", "n", "x.at", "x.window"))
-    hit = maybe.join(_maybe_broadcast(texts.select("n", "window")), ["n", "window"], "left_semi")
+    # Written once, for it is read for places and for items: true matches only.
+    hit = written(maybe.join(_maybe_broadcast(texts.select("n", "window")), ["n", "window"], "left_semi"))
     # Words under the windows of a document; a document's own windows bound a group.
     places = hit.groupBy("doc_id").agg(F.collect_set(F.struct("at", "n")).alias("s"))
     under = F.flatten(F.transform("s", lambda x: F.sequence(x["at"], x["at"] + x["n"] - 1)))
