@@ -55,7 +55,7 @@ class WordEncoder:
     def __init__(self, file: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.stems = Tokenizer.from_file(file), {}, {}
+        self.tokenizer, self.stems = Tokenizer.from_file(file), {}
 
     def stem(self, text: str) -> list[int]:
         ids = self.stems.get(text)
@@ -70,39 +70,35 @@ class WordEncoder:
     def table(self) -> dict[int, str]:
         return {b: c for b, c in byte_letters().items()}
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        out: list = []
-        odd = []
-        for i, t in enumerate(texts):
-            m = PLAIN.fullmatch(t)
+    def encode(self, texts: list[str]) -> tuple[list[int], list[int]]:
+        """(ids of all words in a row, number of ids of each word)"""
+        flat, size, known = [], [], self.stems.get
+        match = [*map(PLAIN.fullmatch, texts)]
+        odd = [t for t, m in zip(texts, match) if not m]
+        rest = iter(self.tokenizer.encode_batch_fast(odd, add_special_tokens=False))
+        for m in match:
             if m:
-                ids = self.stem(m[1].lower())
-                out.append(np.array(ids + self.stem(m[2]) if m[2] else ids, np.uint32))
+                word, stop = m.groups()
+                word = word.lower()
+                ids = known(word) or self.stem(word)
+                if stop:
+                    ids = ids + self.stem(stop)
             else:
-                odd.append(i)
-                out.append(None)
-        for i, x in zip(odd, self.tokenizer.encode_batch_fast([texts[i] for i in odd], add_special_tokens=False)):
-            out[i] = np.array(x.ids, np.uint32)
-        return out
+                ids = next(rest).ids
+            flat += ids
+            size.append(len(ids))
+        return flat, size
 
     def __call__(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, number of ids of each text)"""
         w = words(col)
         if not len(w.hash):
             return np.zeros(0, np.uint32), np.zeros(len(col), np.int64)
-        keys, at, which = np.unique(w.hash, return_index=True, return_inverse=True)
-        if len(self.known) > CACHE:
-            self.known.clear()
-        known, keys = self.known, keys.tolist()
-        new = [i for i, k in enumerate(keys) if k not in known]
+        _, at, which = np.unique(w.hash, return_index=True, return_inverse=True)
         raw = w.data.tobytes()
-        texts = [raw[w.start[at[i]] : w.end[at[i]]].decode() for i in new]
-        for lo in range(0, len(new), 4096):
-            for i, ids in zip(new[lo : lo + 4096], self.encode(texts[lo : lo + 4096])):
-                known[keys[i]] = ids
-        ids = [known[k] for k in keys]
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat, first = np.concatenate(ids), np.concatenate([[0], np.cumsum(size)])
+        flat, size = self.encode([raw[a:b].decode() for a, b in zip(w.start[at].tolist(), w.end[at].tolist())])
+        flat, size = np.array(flat, np.uint32), np.array(size, np.int64)
+        first = np.cumsum(size) - size
         n = size[which]
         ends = np.cumsum(n)
         place = np.arange(ends[-1]) - np.repeat(ends - n - first[which], n)
@@ -115,7 +111,7 @@ def tokenized(docs: DataFrame, file: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = WordEncoder(file)
-        for b in rows_of(batches, "text", 1 << 21):
+        for b in rows_of(batches, "text", 1 << 22):
             ids, size = encode(b.column("text"))
             off = np.concatenate([[0], np.cumsum(size)])
             full = np.insert(ids.astype("<u4"), off[1:], END).astype("<u4")
@@ -137,28 +133,26 @@ class Mixture:
     """
 
     def __init__(self, total: list[int]):
+        """The largest queue must be the last one."""
         self.total = [int(t) for t in total]
         self.sum = sum(self.total)
-        self.filler = max(range(len(total)), key=lambda q: self.total[q])
         self.windows = self.sum // LENGTH
 
-    def taken(self, q: int, w: np.ndarray) -> np.ndarray:
-        """Ids of queue q in the first w windows (all of it at the last)."""
-        if q == self.filler:
-            rest = sum((self.taken(o, w) for o in range(len(self.total)) if o != q), np.zeros(len(w), object))
-            got = w * LENGTH - rest
-        else:
-            got = w * LENGTH * self.total[q] // max(self.sum, 1)
-        return np.where(w > self.windows, self.total[q], got)
-
-    def window_of(self, q: int, at: np.ndarray) -> np.ndarray:
-        """The window that holds place `at` of queue q (Python integers inside)."""
-        w = np.minimum(at * self.sum // (LENGTH * max(self.total[q], 1)), self.windows)
-        while True:
-            low, high = self.taken(q, w) > at, self.taken(q, w + 1) <= at
-            if not (low.any() or high.any()):
-                return w
-            w = w - low.astype(object) + (high & ~low).astype(object)
+    def taken(self, w: int) -> list[int]:
+        """Ids of each queue in the first w windows (all of them after the last)."""
+        if w > self.windows:
+            return self.total
+        got = [w * LENGTH * t // max(self.sum, 1) for t in self.total[:-1]]
+        return [*got, w * LENGTH - sum(got)]
+
+    def window_of(self, q: int, at: int) -> int:
+        """The window that holds place `at` of queue q."""
+        w = min(at * self.sum // (LENGTH * max(self.total[q], 1)), self.windows)
+        while self.taken(w)[q] > at:
+            w -= 1
+        while self.taken(w + 1)[q] <= at:
+            w += 1
+        return w
 
 
 def tail_parts(n: int) -> list[tuple[int, int]]:
@@ -174,15 +168,14 @@ def tail_parts(n: int) -> list[tuple[int, int]]:
 def cut(q: int, at: int, n: int, mix: Mixture) -> list[tuple[int, int, int, int]]:
     """(start in the document, length, sequence, offset) of the pieces of n ids that
     lie from place `at` on in queue q."""
-    one = lambda x: np.array([x], object)
     out, done = [], 0
-    w = int(mix.window_of(q, one(at))[0])
+    w = mix.window_of(q, at)
+    low = mix.taken(w)
     while done < n:
-        first, last = int(mix.taken(q, one(w))[0]), int(mix.taken(q, one(w + 1))[0])
-        m = min(n - done, last - (at + done))
+        high = mix.taken(w + 1)
+        m = min(n - done, high[q] - (at + done))
         if m > 0:
-            before = sum(int(mix.taken(o, one(w + 1))[0]) - int(mix.taken(o, one(w))[0]) for o in range(q))
-            offset = before + at + done - first
+            offset = sum(high[:q]) - sum(low[:q]) + at + done - low[q]
             if w < mix.windows:
                 out.append((done, m, w, offset))
             else:
@@ -191,7 +184,7 @@ def cut(q: int, at: int, n: int, mix: Mixture) -> list[tuple[int, int, int, int]
                     if a < b:
                         out.append((done + a - offset, b - a, w + k, a - lo))
             done += m
-        w += 1
+        w, low = w + 1, high
     return out
 
 
@@ -212,10 +205,13 @@ def pack(docs: DataFrame, file: str | None = None) -> DataFrame:
     top = [tuple(r) for r in totals.orderBy(F.desc("ids"), "source").limit(QUEUES).collect()]
     all_ids, all_rows = totals.agg(F.coalesce(F.sum("ids"), F.lit(0)), F.coalesce(F.sum("rows"), F.lit(0))).first()
     rest = all_ids - sum(r[1] for r in top)
-    names = {r[0]: q for q, r in enumerate(top)}
-    mix = Mixture([r[1] for r in top] + [rest] if top else [0])
+    # The largest queue, of a source or of the rest, is the last.
+    size = [(r[1], r[0]) for r in top] + ([(rest, None)] if rest or not top else [])
+    size.sort(key=lambda x: (x[0], x[1] or ""))
+    names, other = {s: q for q, (_, s) in enumerate(size) if s is not None}, next((q for q, (_, s) in enumerate(size) if s is None), 0)
+    mix = Mixture([n for n, _ in size])
     buckets = max(1, int(all_rows) // RUN)
-    queue = F.coalesce(F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[F.col("source")], F.lit(len(names))) if names else F.lit(0)
+    queue = F.coalesce(F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[F.col("source")], F.lit(other)) if names else F.lit(0)
     narrow = t.select("row", "n", queue.cast("int").alias("queue"), F.pmod(F.xxhash64("row"), F.lit(buckets)).alias("bucket"))
     # Places in the queues: sums of buckets first, then running sums inside a bucket.
     sums = narrow.groupBy("queue", "bucket").agg(F.sum("n").alias("ids"), F.count("*").alias("rows"))
