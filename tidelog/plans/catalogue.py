@@ -30,5 +30,201 @@ def live_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.live(log(spark, sf_dir)).select("k", "seq", "v")
 
 
-QUERIES = {"live_latest": live_latest}
-SQL = {"live_latest": f"WITH {LOG_SQL} SELECT k, seq, v FROM ({NEWEST_SQL.format(src='log')})"}
+HORIZON, FEED_FROM, AS_OF = 5000, 9000, 5000
+LIVE = f"SELECT k, seq, v FROM ({NEWEST_SQL.format(src='log')})"
+
+
+def _history(order: str = "seq, kind DESC") -> str:
+    return f"OVER (PARTITION BY k ORDER BY {order})"
+
+
+def snapshot_asof(spark, sf_dir):
+    return V.as_of(log(spark, sf_dir), AS_OF).select("k", "seq", "v")
+
+
+def point_get(spark, sf_dir):
+    return V.point_get(log(spark, sf_dir), "/users/000042").select("k", "seq", "v")
+
+
+def prefix_scan(spark, sf_dir):
+    return V.prefix_scan(log(spark, sf_dir), "/users/00001").select("k", "seq", "v")
+
+
+def seek_range(spark, sf_dir):
+    return V.range_scan(log(spark, sf_dir), "/users/000020", "/users/000060").select("k", "seq", "v")
+
+
+def keyset_page(spark, sf_dir):
+    """A page of the ordered scan: the limit is the feature."""
+    return V.page(log(spark, sf_dir), 25, "/users/000030").select("k", "seq", "v")
+
+
+def change_feed(spark, sf_dir):
+    return V.change_feed(log(spark, sf_dir), FEED_FROM).select("k", "seq", "kind", "v", "prev_v")
+
+
+def version_gc(spark, sf_dir):
+    return V.retained(log(spark, sf_dir), HORIZON).select("k", "seq", "kind", "v")
+
+
+def validity(spark, sf_dir):
+    return V.validity(log(spark, sf_dir)).select("k", "seq", "kind", "next_seq")
+
+
+def occ_expected_seq(spark, sf_dir):
+    return V.expected_seq(log(spark, sf_dir)).select("k", "seq", "expected_seq")
+
+
+def incarnation(spark, sf_dir):
+    rows = V.incarnations(log(spark, sf_dir))
+    return rows.groupBy("k", "create_seq").agg(F.max("seq").alias("update_seq"), F.count("*").alias("n"))
+
+
+def merge_dedup(spark, sf_dir):
+    x = log(spark, sf_dir)
+    return V.merge_runs(x.where("seq <= 6000"), x.where("seq > 4000")).select("k", "seq", "kind", "v")
+
+
+def admission(spark, sf_dir):
+    x = log(spark, sf_dir)
+    base = V.as_of(x, AS_OF).select(F.col("k").alias("bk"), F.col("seq").alias("bseq"))
+    first = x.where(F.col("seq") > AS_OF).groupBy("k").agg(F.min("seq").alias("seq"))
+    out = first.join(base, F.col("k") == F.col("bk"), "left")
+    op = F.when(F.col("bk").isNull(), "create").otherwise("update")
+    return out.select("k", "seq", op.alias("op"), F.coalesce("bseq", F.lit(0).cast("long")).alias("base"))
+
+
+def index_lookup(spark, sf_dir):
+    from tidelog.operators import index
+
+    x = log(spark, sf_dir)
+    return index.lookup(x, index.build(x, "k"), "k", ["42", "43", "44"]).select("k", "seq", "sk")
+
+
+def wildcard_index(spark, sf_dir):
+    from tidelog.operators import index
+
+    return index.entries(V.live(log(spark, sf_dir)), "*").select("k", "sub_key", "sk")
+
+
+def json_path(spark, sf_dir):
+    from tidelog.operators import index
+
+    x = log(spark, sf_dir).where("v is not null")
+    return x.select("k", "seq", index.extract(F.col("v"), "k").alias("field"))
+
+
+def segment_stats(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    seg = F.floor(F.col("event_id") / 1024).cast("long").alias("segment")
+    return e.groupBy(seg).agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"))
+
+
+def sequence_bounds(spark, sf_dir):
+    x = log(spark, sf_dir)
+    return x.agg(F.min("seq").alias("min_seq"), F.max("seq").alias("max_seq"), F.min("k").alias("min_key"), F.max("k").alias("max_key"))
+
+
+def high_water_mark(spark, sf_dir):
+    """Majority offset of five replicas, each having acknowledged one event type."""
+    x = log(spark, sf_dir).groupBy("event_type").agg(F.max("seq").alias("ack"))
+    acks = x.agg(F.sort_array(F.collect_list("ack"), asc=False).alias("a"))
+    return acks.select(F.element_at("a", F.expr("cast(size(a) / 2 as int) + 1")).alias("hwm"))
+
+
+def internal_key_codec(spark, sf_dir):
+    from tidelog.functions import codec
+
+    x = log(spark, sf_dir).withColumn("trailer", codec.trailer(F.col("seq"), F.col("kind")))
+    return x.select("k", "trailer", codec.trailer_seq(F.col("trailer")).alias("seq"), codec.trailer_kind(F.col("trailer")).alias("kind"))
+
+
+def frame_codec(spark, sf_dir):
+    from tidelog.functions import codec
+
+    x = log(spark, sf_dir).where("v is not null").select("seq", F.octet_length("v").cast("long").alias("n"))
+    return x.withColumn("pad", codec.frame_pad(F.col("n"))).withColumn("frame", codec.frame_length(F.col("n")))
+
+
+def level_targets(spark, sf_dir):
+    levels = spark.range(1, 7).withColumnRenamed("id", "level")
+    return levels.select("level", (F.lit(4 << 20) * F.pow(F.lit(10), F.col("level") - 1)).cast("long").alias("level_bytes"), (F.lit(2 << 20) * F.pow(F.lit(2), F.col("level"))).cast("long").alias("file_bytes"))
+
+
+def manifest_live_files(spark, sf_dir):
+    """Newest edit of each file; here a file is a run of 1024 events of one type and
+    the run's parity tells adding from deleting."""
+    from tidelog.operators import manifest
+
+    return manifest.live_files(_edits(spark, sf_dir)).select("file_num", "level", "size", "min_key", "max_key")
+
+
+def _edits(spark, sf_dir):
+    e = log(spark, sf_dir).withColumn("edit", F.floor((F.col("seq") - 1) / 1024).cast("long"))
+    g = e.groupBy("edit", "event_type").agg(F.count("*").alias("size"), F.min("k").alias("min_key"), F.max("k").alias("max_key"))
+    op = F.when((F.col("edit") + F.length("event_type")) % 5 == 0, "delete").otherwise("add")
+    return g.select("edit", ((F.col("edit") % 7) * 10 + F.length("event_type")).alias("file_num"), (F.length("event_type") % 3).cast("int").alias("level"), "size", "min_key", "max_key", op.alias("op"))
+
+
+def compaction_pick(spark, sf_dir):
+    from tidelog.operators import manifest
+
+    return manifest.pick_l0(manifest.live_files(_edits(spark, sf_dir)), trigger=4).select("file_num", "level")
+
+
+def catalog_replay(spark, sf_dir):
+    """Schema events drawn from the log: error removes, others add an index path."""
+    from tidelog.operators import catalog
+
+    x = log(spark, sf_dir)
+    path = F.concat(F.lit("p"), (F.col("seq") % 11).cast("string"))
+    ops = x.select("seq", F.when(F.col("kind") == 0, 3).otherwise(2).alias("op"), F.col("k").alias("type"), path.alias("index_path"))
+    types = x.select(F.col("k").alias("type")).distinct().select(F.lit(0).cast("long").alias("seq"), F.lit(1).alias("op"), "type", F.lit(None).cast("string").alias("index_path"))
+    return catalog.replay_indexes(types.unionByName(ops)).select("type", "index_path")
+
+
+def schema_validate(spark, sf_dir):
+    from tidelog.operators import catalog
+
+    rows = [(str(i), *r) for i, r in enumerate(catalog.EXAMPLES)]
+    df = spark.createDataFrame(rows, "n string, type string, primary_key string, secondary_indexes array<string>")
+    return df.select("n", catalog.problem().isNull().alias("valid"))
+
+
+QUERIES = {f.__name__: f for f in (live_latest, snapshot_asof, point_get, prefix_scan, seek_range, keyset_page, change_feed, version_gc, validity, occ_expected_seq, incarnation, merge_dedup, admission, index_lookup, wildcard_index, json_path, segment_stats, sequence_bounds, high_water_mark, internal_key_codec, frame_codec, level_targets, manifest_live_files, compaction_pick, catalog_replay, schema_validate)}
+
+_EDITS = """edits AS (
+  SELECT edit, (edit % 7) * 10 + length(event_type) AS file_num, CAST(length(event_type) % 3 AS INTEGER) AS level, size, min_key, max_key,
+         CASE WHEN (edit + length(event_type)) % 5 = 0 THEN 'delete' ELSE 'add' END AS op
+  FROM (SELECT CAST(floor((seq - 1) / 1024) AS BIGINT) AS edit, event_type, count(*) AS size, min(k) AS min_key, max(k) AS max_key FROM log GROUP BY ALL)),
+files AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file_num ORDER BY edit DESC, op) AS rn FROM edits) WHERE rn = 1 AND op = 'add')"""
+_BASE = NEWEST_SQL.format(src=f"(SELECT * FROM log WHERE seq <= {AS_OF})")
+SQL = {
+    "live_latest": LIVE,
+    "snapshot_asof": f"SELECT k, seq, v FROM ({_BASE})",
+    "point_get": f"SELECT * FROM ({LIVE}) WHERE k = '/users/000042'",
+    "prefix_scan": f"SELECT * FROM ({LIVE}) WHERE starts_with(k, '/users/00001')",
+    "seek_range": f"SELECT * FROM ({LIVE}) WHERE k >= '/users/000020' AND k < '/users/000060'",
+    "keyset_page": f"SELECT * FROM ({LIVE}) WHERE k > '/users/000030' ORDER BY k LIMIT 25",
+    "change_feed": f"SELECT * FROM (SELECT k, seq, kind, v, lag(v) {_history()} AS prev_v FROM log) WHERE seq > {FEED_FROM}",
+    "version_gc": f"SELECT k, seq, kind, v FROM (SELECT *, lead(seq) {_history()} AS nx FROM log) WHERE nx IS NULL OR nx > {HORIZON}",
+    "validity": f"SELECT k, seq, kind, lead(seq) {_history()} AS next_seq FROM log",
+    "occ_expected_seq": f"SELECT k, seq, coalesce(lag(seq) {_history()}, 0) AS expected_seq FROM log",
+    "incarnation": "SELECT k, min(seq) AS create_seq, max(seq) AS update_seq, count(*) AS n FROM (SELECT *, sum(CASE WHEN kind = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY seq ROWS UNBOUNDED PRECEDING) AS inc FROM log) WHERE kind = 1 GROUP BY k, inc",
+    "merge_dedup": "SELECT DISTINCT k, seq, kind, v FROM (SELECT * FROM log WHERE seq <= 6000 UNION ALL SELECT * FROM log WHERE seq > 4000)",
+    "admission": f"SELECT w.k, w.seq, CASE WHEN b.k IS NULL THEN 'create' ELSE 'update' END AS op, coalesce(b.seq, 0) AS base FROM (SELECT k, min(seq) AS seq FROM log WHERE seq > {AS_OF} GROUP BY k) w LEFT JOIN ({_BASE}) b ON w.k = b.k",
+    "index_lookup": f"SELECT live.k, live.seq, idx.sk FROM (SELECT DISTINCT k, json_extract_string(v, '$.k') AS sk FROM log WHERE kind = 1) idx JOIN ({LIVE}) live ON live.k = idx.k WHERE idx.sk IN ('42', '43', '44') AND json_extract_string(live.v, '$.k') = idx.sk",
+    "wildcard_index": f"SELECT live.k, e.key AS sub_key, json_extract_string(e.value, '$') AS sk FROM ({LIVE}) live, json_each(live.v) e",
+    "json_path": "SELECT k, seq, json_extract_string(v, '$.k') AS field FROM log WHERE v IS NOT NULL",
+    "segment_stats": "SELECT event_id // 1024 AS segment, count(*) AS n, min(event_id) AS first_id, max(event_id) AS last_id FROM events GROUP BY 1",
+    "sequence_bounds": "SELECT min(seq) AS min_seq, max(seq) AS max_seq, min(k) AS min_key, max(k) AS max_key FROM log",
+    "high_water_mark": "SELECT a[len(a) // 2 + 1] AS hwm FROM (SELECT list(ack ORDER BY ack DESC) AS a FROM (SELECT event_type, max(seq) AS ack FROM log GROUP BY event_type))",
+    "internal_key_codec": "SELECT k, ~((seq << 8) | kind) AS trailer, (seq << 8 | kind) >> 8 AS seq, kind FROM log",
+    "frame_codec": "SELECT seq, n, pad, CASE WHEN pad = 0 THEN n ELSE n + ((128 + pad) - 256) * 72057594037927936 END AS frame FROM (SELECT seq, n, (8 - n % 8) % 8 AS pad FROM (SELECT seq, CAST(strlen(v) AS BIGINT) AS n FROM log WHERE v IS NOT NULL))",
+    "level_targets": "SELECT CAST(i AS BIGINT) AS level, CAST(4194304 * power(10, i - 1) AS BIGINT) AS level_bytes, CAST(2097152 * power(2, i) AS BIGINT) AS file_bytes FROM range(1, 7) t(i)",
+    "manifest_live_files": "SELECT file_num, level, size, min_key, max_key FROM files",
+    "compaction_pick": "SELECT file_num, level FROM files WHERE (SELECT count(*) FROM files WHERE level = 0) >= 4 AND (level = 0 OR level = 1 AND max_key >= (SELECT min(min_key) FROM files WHERE level = 0) AND min_key <= (SELECT max(max_key) FROM files WHERE level = 0))",
+    "catalog_replay": "SELECT k AS type, p AS index_path FROM (SELECT k, concat('p', CAST(seq % 11 AS VARCHAR)) AS p, kind, row_number() OVER (PARTITION BY k, seq % 11 ORDER BY seq DESC) AS rn FROM log) WHERE rn = 1 AND kind = 1",
+}
+SQL = {k: f"WITH {LOG_SQL}{', ' + _EDITS if 'files' in v and k in ('manifest_live_files', 'compaction_pick') else ''} {v}" for k, v in SQL.items()}
+SQL["schema_validate"] = "SELECT * FROM (VALUES ('0', true), ('1', true), ('2', true), ('3', false), ('4', false), ('5', false), ('6', false), ('7', false), ('8', false), ('9', false), ('10', true), ('11', false), ('12', false)) t(n, valid)"
