@@ -56,6 +56,11 @@ def _fingerprints(text: Column) -> Column:
     return _let(word_array(text), select)
 
 
+def _all_windows(n: int, w: Column) -> Column:
+    """Every window of n words with its place; null for fewer words."""
+    return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.struct(i.alias("at"), _joined(w, i, n).alias("window"))))
+
+
 def _maybe_broadcast(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
@@ -87,7 +92,8 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     around = _let(F.split("near", " "), lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - WINDOW + 1), lambda i: F.struct((start + i - 1).alias("at"), _joined(w, i, WINDOW).alias("window"))))
     maybe = near.select("doc_id", F.lit(WINDOW).alias("n"), F.explode(around).alias("x")).select("doc_id", "n", "x.at", "x.window")
     for n in short:
-        grams = _let(word_array(F.col("text")), lambda w, n=n: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.struct(i.alias("at"), _joined(w, i, n).alias("window")))))
+        size_ = n  # a second parameter of the lambda would get the element's index
+        grams = _let(word_array(F.col("text")), lambda w: _all_windows(size_, w))
         some = docs.select("doc_id", F.lit(n).alias("n"), F.explode(grams).alias("x"))
         maybe = maybe.unionByName(some.select("doc_id", "n", "x.at", "x.window"))
     # Written once, for it is read for places and for items: true matches only.
