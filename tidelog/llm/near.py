@@ -21,6 +21,8 @@ SHINGLE = 5
 TREES, SHALLOW, DEPTH, SPARSE = 32, 3, 4, 8
 #: Sets that one task compares with each other; larger families go by blocks.
 BLOCK = 2000
+#: Ids of documents in families up to which these (16 bytes each) are broadcast.
+BROADCAST_IDS = 1_000_000
 
 
 def shingle_sets(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -138,6 +140,9 @@ def true_links(docs: DataFrame, families: DataFrame) -> DataFrame:
     """
     f = families.select("id", "family")
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # Few ids by count: they go to the texts; else the texts are shuffled to them.
+    if f.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        f = F.broadcast(f)
     # One row an id: representatives are the smallest of equal sets.
     text = d.join(f, d["doc_id"] == f["id"]).select("id", "family", "text")
 
@@ -195,7 +200,7 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     members = written(members.select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")))
     own = members.where("doc_id = rep and n_shingles > 0").select(F.col("doc_id").alias("id"))
     sets = sig.join(own, F.col("doc_id") == F.col("id"), "left_semi").select(F.col("doc_id").alias("id"), "shallow", "deep")
-    families = components(candidate_edges(sets)).withColumnRenamed("component_id", "family")
+    families = written(components(candidate_edges(sets))).withColumnRenamed("component_id", "family")
     found = written(components(true_links(docs, families)))
     known = found.select(F.col("id").alias("rep"), "component_id").join(members.groupBy("rep").agg(F.count("*").alias("size")), "rep")
     out = hot_left_join(members, known, ["rep"], "size", "doc_id")
