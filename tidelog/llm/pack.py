@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import functools
-import re
+import itertools
+import json
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import rows_of, table, written
-from .words import words
+from .words import U, Words, words
 
 #: Length of a sequence; the id after each document.
 LENGTH, END = 4096, 2
@@ -22,7 +24,9 @@ QUEUES = 40
 #: Documents that one running sum covers, on average.
 RUN = 4096
 #: Words whose ids a worker keeps between batches.
-CACHE = 1 << 18
+CACHE = 1 << 20
+#: Stop and comma.
+STOPS = [0x2E, 0x2C]
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -32,11 +36,6 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-#: Words of Latin-1 letters with a stop or comma at most: normalisation leaves them
-#: but for case, and the tokenizer's pattern splits them into just these two.
-PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
-
-
 def byte_letters() -> dict[int, str]:
     """The letters that byte-level vocabularies write for the bytes 0 to 255."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -44,73 +43,154 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+def ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first[i] .. first[i] + size[i] - 1 for every i, in a row."""
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - size), size)
+
+
+class Merges:
+    """Byte-pair merges of many words at once: in every round each word applies its
+    pair of lowest rank, wherever it occurs, from left to right."""
+
+    def __init__(self, file: str):
+        with open(file, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        vocab, suffix = model["vocab"], model["end_of_word_suffix"]
+        letters = byte_letters()
+        #: Ids of a byte inside a word, and as its last one.
+        self.inner = np.array([vocab[letters[b]] for b in range(256)], np.int64)
+        self.last = np.array([vocab[letters[b] + suffix] for b in range(256)], np.int64)
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        self.pairs = pd.Index(np.array([vocab[x] << 32 | vocab[y] for x, y in pairs], np.int64))
+        self.made = np.array([vocab[x + y] for x, y in pairs], np.int64)
+        self.none = len(pairs)
+
+    def __call__(self, data: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words in a row, number of ids of each) of words given by their
+        bytes in a row and their numbers of bytes, none of which is 0."""
+        ids, word = self.inner[data], np.repeat(np.arange(len(size)), size)
+        tail = np.cumsum(size) - 1
+        ids[tail] = self.last[data[tail]]
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(ids):
+            rank = np.full(len(ids), self.none)
+            inside = np.flatnonzero(word[:-1] == word[1:])
+            at = self.pairs.get_indexer(ids[inside] << 32 | ids[inside + 1])
+            rank[inside] = np.where(at >= 0, at, self.none)
+            new = np.flatnonzero(np.diff(word, prepend=-1))
+            least = np.repeat(np.minimum.reduceat(rank, new), np.diff(new, append=len(ids)))
+            over = least == self.none
+            if over.any():
+                done.append((word[over], ids[over]))
+                word, ids, rank, least = word[~over], ids[~over], rank[~over], least[~over]
+            hit = np.flatnonzero(rank == least)
+            # Of overlapping places, every second one from the left.
+            run = np.diff(hit, prepend=-2) != 1
+            hit = hit[(np.arange(len(hit)) - np.maximum.accumulate(np.where(run, np.arange(len(hit)), 0))) % 2 == 0]
+            ids[hit] = self.made[rank[hit]]
+            stay = np.ones(len(ids), bool)
+            stay[hit + 1] = False
+            ids, word = ids[stay], word[stay]
+        word, ids = (np.concatenate(x) for x in zip(*done)) if done else (np.zeros(0, np.int64),) * 2
+        return ids[np.argsort(word, kind="stable")], np.bincount(word, minlength=len(size))
+
+
 class WordEncoder:
     """Ids of whole texts from the ids of their words.
 
     The tokenizer never joins across space or 09-0D, so the ids of a text are
-    those of its words in a row; each distinct word of a batch is encoded once,
-    plain ones by the tokenizer's model alone.
+    those of its words in a row. Words of Latin-1 letters with a stop or comma at
+    most, which normalisation leaves but for case and the tokenizer's pattern
+    splits into just these two, go through Merges; the tokenizer encodes the
+    others. Ids of up to CACHE words, by 64-bit hash, are kept between batches.
     """
 
     def __init__(self, file: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.stems = Tokenizer.from_file(file), {}
-
-    def stem(self, text: str) -> list[int]:
-        ids = self.stems.get(text)
-        if ids is None:
-            if len(self.stems) > CACHE:
-                self.stems.clear()
-            shown = text if text.isascii() else text.encode().decode("latin-1").translate(self.table)
-            ids = self.stems[text] = [t.id for t in self.tokenizer.model.tokenize(shown)]
-        return ids
+        self.tokenizer, self.merges = Tokenizer.from_file(file), Merges(file)
+        self.forget()
 
-    @functools.cached_property
-    def table(self) -> dict[int, str]:
-        return {b: c for b, c in byte_letters().items()}
+    def forget(self) -> None:
+        self.known, self.first, self.size = np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.uint32)
 
-    def encode(self, texts: list[str]) -> tuple[list[int], list[int]]:
+    def encode(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words in a row, number of ids of each word)"""
-        flat, size, known = [], [], self.stems.get
-        match = [*map(PLAIN.fullmatch, texts)]
-        odd = [t for t, m in zip(texts, match) if not m]
-        rest = iter(self.tokenizer.encode_batch_fast(odd, add_special_tokens=False))
-        for m in match:
-            if m:
-                word, stop = m.groups()
-                word = word.lower()
-                ids = known(word) or self.stem(word)
-                if stop:
-                    ids = ids + self.stem(stop)
-            else:
-                ids = next(rest).ids
-            flat += ids
-            size.append(len(ids))
-        return flat, size
+        n = end - start
+        b = data[ranges(start, n)]
+        ends = np.cumsum(n)
+        stop = np.isin(b[ends - 1], STOPS) & (n > 1)
+        lead = b == 0xC3
+        after = np.concatenate([[False], lead[:-1]])
+        low = b | 0x20
+        letter = (low >= 97) & (low <= 122) & (b < 128) | lead | after & (b != 0x97) & (b != 0xB7)
+        letter[(ends - 1)[stop]] = True
+        plain = np.logical_and.reduceat(letter, ends - n)
+        # Latin-1 capitals are C3 80 to C3 9E, small ones 20 above.
+        b = np.where((b >= 65) & (b <= 90) | after & (b >= 0x80) & (b <= 0x9E), b + 0x20, b).astype(np.uint8)
+        # A plain word is one or two pieces for the merges: its letters and its stop.
+        good, odd = np.flatnonzero(plain), np.flatnonzero(~plain)
+        two = stop[good]
+        piece = np.ones(len(good) + int(two.sum()), np.int64)
+        at = np.arange(len(good)) + np.cumsum(two) - two
+        piece[at] = n[good] - two
+        flat, each = self.merges(b[np.repeat(plain, n)], piece)
+        size = np.zeros(len(n), np.int64)
+        size[good] = np.add.reduceat(each, at) if len(at) else 0
+        raw = [data[s:e].tobytes().decode() for s, e in zip(start[odd].tolist(), end[odd].tolist())]
+        rest = [x.ids for x in self.tokenizer.encode_batch_fast(raw, add_special_tokens=False)]
+        size[odd] = [len(x) for x in rest]
+        out = np.zeros(int(size.sum()), np.uint32)
+        first = np.cumsum(size) - size
+        out[ranges(first[good], size[good])] = flat
+        out[ranges(first[odd], size[odd])] = np.fromiter(itertools.chain.from_iterable(rest), np.uint32)
+        return out, size
+
+    def learn(self, w: Words, key: np.ndarray, at: np.ndarray) -> None:
+        """Keep the ids of the words `at`, which have the hashes key."""
+        flat, size = self.encode(w.data, w.start[at], w.end[at])
+        order = np.argsort(key)
+        first = np.cumsum(size) - size + len(self.flat)
+        place = np.searchsorted(self.known, key[order])
+        self.known = np.insert(self.known, place, key[order])
+        self.first, self.size = np.insert(self.first, place, first[order]), np.insert(self.size, place, size[order])
+        self.flat = np.concatenate([self.flat, flat])
 
     def __call__(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, number of ids of each text)"""
         w = words(col)
         if not len(w.hash):
             return np.zeros(0, np.uint32), np.zeros(len(col), np.int64)
-        _, at, which = np.unique(w.hash, return_index=True, return_inverse=True)
-        raw = w.data.tobytes()
-        flat, size = self.encode([raw[a:b].decode() for a, b in zip(w.start[at].tolist(), w.end[at].tolist())])
-        flat, size = np.array(flat, np.uint32), np.array(size, np.int64)
-        first = np.cumsum(size) - size
-        n = size[which]
-        ends = np.cumsum(n)
-        place = np.arange(ends[-1]) - np.repeat(ends - n - first[which], n)
-        total = np.concatenate([[0], ends])
-        return flat[place], total[w.first[1:]] - total[w.first[:-1]]
+        which, key = pd.factorize(w.hash)
+        at = np.zeros(len(key), np.int64)
+        at[which] = np.arange(len(which))
+        if len(self.known) > CACHE:
+            self.forget()
+        place = np.searchsorted(self.known, key)
+        new = np.ones(len(key), bool)
+        old = np.flatnonzero(place < len(self.known))
+        new[old] = self.known[place[old]] != key[old]
+        if new.any():
+            self.learn(w, key[new], at[new])
+            place = np.searchsorted(self.known, key)
+        first, size = self.first[place][which], self.size[place][which]
+        total = np.concatenate([[0], np.cumsum(size)])
+        return self.flat[ranges(first, size)], total[w.first[1:]] - total[w.first[:-1]]
+
+
+@functools.lru_cache(1)
+def encoder(file: str) -> WordEncoder:
+    """One a worker, so that tasks in turn use the words already known."""
+    return WordEncoder(file)
 
 
 def tokenized(docs: DataFrame, file: str) -> DataFrame:
     """doc_id, source, n (ids with END), ids (little-endian unsigned 32 bits)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordEncoder(file)
+        encode = encoder(file)
         for b in rows_of(batches, "text", 1 << 22):
             ids, size = encode(b.column("text"))
             off = np.concatenate([[0], np.cumsum(size)])
