@@ -20,9 +20,10 @@ SHINGLE = 5
 #: sets of similarity 0.75 stay apart in all orders with a chance of 5 in a million.
 TREES, SHALLOW, DEPTH, SPARSE = 32, 3, 4, 8
 #: Sets that one task compares with each other; larger families go by blocks.
-BLOCK = 2000
-#: Ids of documents in families up to which these (16 bytes each) are broadcast.
-BROADCAST_IDS = 1_000_000
+#: The same for the shingles of these sets (8 bytes each).
+BLOCK, WEIGHT = 2000, 8_000_000
+#: Places (about 40 bytes each) of documents in families that are broadcast at most.
+BROADCAST_IDS = 500_000
 
 
 def shingle_sets(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -50,7 +51,8 @@ def _seeds() -> np.ndarray:
 
 def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, set_key (128 bits of the set), shallow and deep: the
-    hash of the first SHALLOW and DEPTH minima in each order (null: empty set)."""
+    hashes of the first SHALLOW (64 bits) and DEPTH minima (32 bits, read within a
+    shallow region) in each order (null: empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds = _seeds()
@@ -73,27 +75,67 @@ def signatures(docs: DataFrame) -> DataFrame:
                             top = a
                 for j, i in enumerate(full):
                     keys[i] = one[j].tobytes() + two[j].tobytes()
-                    shallow[i], deep[i] = top[:, j].view(np.int64), a[:, j].view(np.int64)
-            longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(shallow, longs), pa.array(deep, longs)], ["doc_id", "n_shingles", "set_key", "shallow", "deep"])
+                    shallow[i], deep[i] = top[:, j].view(np.int64), (a[:, j] >> U(32)).astype(np.uint32).view(np.int32)
+            longs, ints = pa.list_(pa.int64()), pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(shallow, longs), pa.array(deep, ints)], ["doc_id", "n_shingles", "set_key", "shallow", "deep"])
 
     d = docs.select(F.col("doc_id").cast("long"), "text")
-    return d.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, shallow array<long>, deep array<long>")
+    return d.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, shallow array<long>, deep array<int>")
 
 
 def candidate_edges(sets: DataFrame) -> DataFrame:
-    """(a, b): b is the least id of a region of an order, a another id of it. All
-    that share a prefix of the adaptive depth become connected, without pairs."""
-    t = sets.select("id", F.explode(F.arrays_zip(F.sequence(F.lit(0), F.lit(TREES - 1)).alias("tree"), "shallow", "deep")).alias("x"))
-    t = t.select("id", "x.tree", "x.shallow", "x.deep")
-    edges = None
-    for key, sparse in (("deep", False), ("shallow", True)):
-        g = t.groupBy("tree", key).agg(F.min("id").alias("b"), F.count("*").alias("size")).where("size > 1")
-        if sparse:
-            g = g.where(F.col("size") <= SPARSE)
-        e = hot_left_join(t.select("id", "tree", key), g, ["tree", key], "size", "id", "inner")
-        e = e.where("id > b").select(F.col("id").alias("a"), "b").distinct()
-        edges = e if edges is None else edges.unionByName(e)
+    """(a, b), a > b: neighbours in a sorted order that share a prefix of the
+    adaptive depth become connected, without pairs.
+
+    All orders are dealt out by ranges of (prefix, id), so a hot region is cut like
+    any other. A part joins the ids of each of its runs to the first of them; the
+    runs that meet its two ends also leave a mark, and marks join across parts.
+    """
+    t = sets.select("id", F.explode(F.arrays_zip("shallow", "deep")).alias("x")).select("x.shallow", "x.deep", "id")
+    t = t.repartitionByRange("shallow", "deep", "id").sortWithinPartitions("shallow", "deep", "id")
+
+    def stars(x: list[np.ndarray], ids: np.ndarray, most: int | None) -> tuple[np.ndarray, np.ndarray]:
+        new = np.ones(len(ids), bool)
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in x])
+        at = np.flatnonzero(new)
+        size = np.diff(at, append=len(ids))
+        head = np.repeat(ids[at], size)
+        keep = ~new & (np.repeat(size, size) <= most) if most else ~new
+        return ids[keep], head[keep]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The last row of a batch is carried to the next, which makes runs that
+        # cross batches one chain of stars.
+        carry = first = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            c = [b.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+            if first is None:
+                first = [x[0] for x in c]
+            if carry is not None:
+                c = [np.concatenate([p, x]) for p, x in zip(carry, c)]
+            carry = [x[-1:] for x in c]
+            pairs = [stars(c[:2], c[2], None), stars(c[:1], c[2], SPARSE)]
+            u, v = (np.concatenate([p[i] for p in pairs]) for i in range(2))
+            pair = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)]), axis=1)
+            yield edges_of(pair[0], pair[1], None, None)
+        if first is not None:
+            ends = [first, [x[0] for x in carry]]
+            yield edges_of(*(np.array([e[i] for e in ends]) for i in (2, 2, 0, 1)))
+
+    def edges_of(a, b, shallow, deep) -> pa.RecordBatch:
+        ends = [pa.nulls(len(a), t_) if x is None else pa.array(x, t_) for x, t_ in ((shallow, pa.int64()), (deep, pa.int32()))]
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), *ends], ["a", "b", "shallow", "deep"])
+
+    got = written(t.mapInArrow(run, "a long, b long, shallow long, deep int"))
+    # Two marks a part: a narrow table, whatever the data are.
+    marks = got.where("shallow is not null")
+    edges = got.where("shallow is null and a > b").select("a", "b")
+    for keys, most in ((["shallow", "deep"], None), (["shallow"], SPARSE)):
+        g = marks.groupBy(*keys).agg(F.min("a").alias("m"), F.count("*").alias("n"))
+        g = g.where(F.col("n") <= most) if most else g
+        edges = edges.unionByName(marks.join(g, keys).where("a > m").select("a", F.col("m").alias("b")))
     return edges.distinct()
 
 
@@ -132,37 +174,25 @@ def linked(sizes: np.ndarray, sets: list[np.ndarray], left: int | None = None) -
 
 
 def true_links(docs: DataFrame, families: DataFrame) -> DataFrame:
-    """(a, b) links that connect what is connected within families (id, family).
+    """(a, b) links that connect what is connected within families (id, family, n).
 
-    A family of at most BLOCK sets is one task's. A larger one is dealt to blocks
-    by size class (steps of 4/3: linked sets are at most one class apart) and a
-    hash; each pair of blocks that can hold a link is one task's.
+    A family of at most BLOCK sets and WEIGHT shingles is one task's. A larger one
+    is dealt to blocks by size class (steps of 4/3: linked sets are at most one
+    class apart) and a hash; each pair of blocks that can hold a link is one
+    task's. Places are settled on narrow rows, so each set is shuffled once.
     """
-    f = families.select("id", "family")
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    # Few ids by count: they go to the texts; else the texts are shuffled to them.
-    if f.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        f = F.broadcast(f)
-    # One row an id: representatives are the smallest of equal sets.
-    text = d.join(f, d["doc_id"] == f["id"]).select("id", "family", "text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in rows_of(batches, "text"):
-            h, first = shingle_sets(b.column("text"))
-            out = [h[first[i] : first[i + 1]].tobytes() for i in range(b.num_rows)]
-            n = np.diff(first)
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("family"), pa.array(n, pa.int64()), pa.array(np.floor(np.log(np.maximum(n, 1)) / np.log(4 / 3)).astype(np.int32), pa.int32()), pa.array(out, pa.binary())], ["id", "family", "n", "c", "s"])
-
-    sets = written(text.mapInArrow(run, "id long, family long, n long, c int, s binary").dropDuplicates(["id"]))
-    total = sets.groupBy("family").agg(F.count("*").alias("size"))
-    near = sets.groupBy("family", "c").agg(F.count("*").alias("m"))
-    blocks = lambda c: F.ceil(F.col(c) / (BLOCK // 2)).cast("int")
-    above = near.select("family", (F.col("c") - 1).alias("c"), F.col("m").alias("m_above"))
-    below = near.select("family", (F.col("c") + 1).alias("c"), F.col("m").alias("m_below"))
+    c = F.floor(F.log(F.greatest("n", F.lit(1))) / F.log(F.lit(4 / 3))).cast("int")
+    f = families.select("id", "family", "n", c.alias("c"))
+    near = written(f.groupBy("family", "c").agg(F.count("*").alias("m"), F.sum("n").alias("w")))
+    total = near.groupBy("family").agg(((F.sum("m") <= BLOCK) & (F.sum("w") <= WEIGHT)).alias("small"))
+    blocks = F.ceil(F.greatest(F.col("m") / (BLOCK // 2), F.col("w") / (WEIGHT // 2))).cast("int")
+    near = near.select("family", "c", "m", blocks.alias("own"))
+    above = near.select("family", (F.col("c") - 1).alias("c"), F.col("own").alias("up"))
+    below = near.select("family", (F.col("c") + 1).alias("c"), F.col("own").alias("down"))
     plan = near.join(above, ["family", "c"], "left").join(below, ["family", "c"], "left").join(total, "family")
     zero = F.lit(0)
-    plan = plan.select("family", "c", "size", "m", blocks("m").alias("own"), F.coalesce(blocks("m_above"), zero).alias("up"), F.coalesce(blocks("m_below"), zero).alias("down"))
-    rows = hot_left_join(sets, plan, ["family", "c"], "m", "id", "inner")
+    plan = plan.select("family", "c", "small", "m", "own", F.coalesce("up", zero).alias("up"), F.coalesce("down", zero).alias("down"))
+    rows = hot_left_join(f, plan, ["family", "c"], "m", "id", "inner")
     r = F.pmod(F.xxhash64("id"), F.col("own")).cast("int")
     place = lambda c1, r1, c2, r2, side: F.struct(c1.alias("c1"), r1.alias("r1"), c2.alias("c2"), r2.alias("r2"), F.lit(side).alias("side"))
     c, seq = F.col("c"), lambda n: F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1)
@@ -170,9 +200,23 @@ def true_links(docs: DataFrame, families: DataFrame) -> DataFrame:
     up = F.when(F.col("up") > 0, F.transform(seq(F.col("up")), lambda s: place(c, r, c + 1, s, 0))).otherwise(F.slice(mine, 1, 0))
     down = F.when(F.col("down") > 0, F.transform(seq(F.col("down")), lambda s: place(c - 1, s, c, r, 1))).otherwise(F.slice(mine, 1, 0))
     whole = F.array(place(F.lit(-1), zero, F.lit(-1), zero, 0))
-    rows = rows.select("id", "family", "n", "s", F.explode(F.when(F.col("size") <= BLOCK, whole).otherwise(F.concat(mine, up, down))).alias("p"))
+    placed = written(rows.select("id", "family", F.when(F.col("small"), whole).otherwise(F.concat(mine, up, down)).alias("places")))
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # Few ids by count: they go to the texts; else the texts are shuffled to them.
+    if (placed.agg(F.sum(F.size("places"))).first()[0] or 0) <= BROADCAST_IDS:
+        placed = F.broadcast(placed)
+    text = d.join(placed, d["doc_id"] == placed["id"]).select("id", "family", "places", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in rows_of(batches, "text"):
+            h, first = shingle_sets(b.column("text"))
+            out = [h[first[i] : first[i + 1]].tobytes() for i in range(b.num_rows)]
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("family"), b.column("places"), pa.array(np.diff(first), pa.int64()), pa.array(out, pa.binary())], ["id", "family", "places", "n", "s"])
+
+    kind = "array<struct<c1:int,r1:int,c2:int,r2:int,side:int>>"
+    sets = text.mapInArrow(run, f"id long, family long, places {kind}, n long, s binary")
     keys = ["family", "c1", "r1", "c2", "r2"]
-    rows = rows.select("id", "family", "n", "s", "p.*")
+    rows = sets.select("id", "family", "n", "s", F.explode("places").alias("p")).select("id", "family", "n", "s", "p.*")
 
     def compare(key, frame: pd.DataFrame) -> pd.DataFrame:
         same = key[1:3] == key[3:5]
@@ -200,7 +244,8 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     members = written(members.select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")))
     own = members.where("doc_id = rep and n_shingles > 0").select(F.col("doc_id").alias("id"))
     sets = sig.join(own, F.col("doc_id") == F.col("id"), "left_semi").select(F.col("doc_id").alias("id"), "shallow", "deep")
-    families = written(components(candidate_edges(sets))).withColumnRenamed("component_id", "family")
+    families = components(candidate_edges(sets)).withColumnRenamed("component_id", "family")
+    families = written(families.join(sig.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n")), "id"))
     found = written(components(true_links(docs, families)))
     known = found.select(F.col("id").alias("rep"), "component_id").join(members.groupBy("rep").agg(F.count("*").alias("size")), "rep")
     out = hot_left_join(members, known, ["rep"], "size", "doc_id")
