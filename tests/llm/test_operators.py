@@ -71,7 +71,7 @@ def test_exact(docs, texts):
     assert dedup.exact_dedup(empty(docs)).count() == 0
 
 
-def test_substring(docs, texts):
+def test_substring(docs, texts, monkeypatch):
     seen, want = {}, {}
     for i, t in enumerate(texts):
         w = split(t)
@@ -81,8 +81,10 @@ def test_substring(docs, texts):
                 gone |= set(range(k, k + 50))
         kept = [x for k, x in enumerate(w) if k not in gone]
         want[i] = (len(w), len(gone), sha(" ".join(kept)))
-    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in spans.substring_dedup(docs).collect()}
-    assert got == want and sum(x[1] for x in want.values()) > 1000
+    for few in (1_000_000, 0):  # ids go to the texts, and texts to the ids
+        monkeypatch.setattr(spans, "BROADCAST_IDS", few)
+        got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in spans.substring_dedup(docs).collect()}
+        assert got == want and sum(x[1] for x in want.values()) > 1000
     assert spans.substring_dedup(empty(docs)).count() == 0
 
 
@@ -98,8 +100,10 @@ def test_near(docs, texts, monkeypatch):
                 x, y = root[i], root[j]
                 root = [min(x, y) if r in (x, y) else r for r in root]
     want = {i: (len(s), root[i], root[i] == i) for i, s in enumerate(sets)}
-    for block in (2000, 4):  # one task a family, and blocks of it
-        monkeypatch.setattr(near, "BLOCK", block)
+    # One task a family; blocks by the number of sets, with texts sent to ids; blocks by shingles.
+    for block, weight, ids in ((2000, 8_000_000, 500_000), (4, 8_000_000, 0), (2000, 500, 500_000)):
+        for name, value in (("BLOCK", block), ("WEIGHT", weight), ("BROADCAST_IDS", ids)):
+            monkeypatch.setattr(near, name, value)
         got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near.near_dedup(docs).collect()}
         assert got == want
     assert len({x[1] for x in want.values()}) < len(want)

@@ -11,12 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import hot_left_join, rows_of, table, written
-from .words import SEQ, Spans, U, sliding, words
+from .words import SEQ, Spans, U, mix, sliding, words
 
 #: Words of a window; anchors are GRAM-word hashes that are least among RUN
 #: neighbours. RUN + GRAM - 1 = WINDOW: equal windows have an anchor in common.
 WINDOW, GRAM = 50, 16
 RUN = WINDOW - GRAM + 1
+#: Stands for the end of a document of any length.
+END = 2**31 - 1
+#: Ids of documents with shared anchors up to which these (8 bytes each) are broadcast.
+BROADCAST_IDS = 1_000_000
 
 
 def anchors_of(h: np.ndarray, doc: np.ndarray, spans: Spans) -> tuple[np.ndarray, np.ndarray]:
@@ -31,9 +35,20 @@ def anchors_of(h: np.ndarray, doc: np.ndarray, spans: Spans) -> tuple[np.ndarray
     return np.flatnonzero((most == g) & (most > 0)), g
 
 
+def covered(ranges: list[dict], n: int) -> np.ndarray:
+    """Which of n places lie in any range s to e (exclusive, clipped to n)."""
+    step = np.zeros(n + 1, np.int32)
+    if ranges:
+        s, e = (np.array([x[k] for x in ranges]) for k in ("s", "e"))
+        np.add.at(step, np.minimum(s, n), 1)
+        np.add.at(step, np.clip(e, np.minimum(s, n), n), -1)
+    return np.cumsum(step[:n]) > 0
+
+
 def anchors(docs: DataFrame) -> DataFrame:
     """doc_id, at (place), anchor, block: the hash of all words from this anchor to
-    the end of the next one of the document (null at its last)."""
+    the end of the next one of the document (at its last: to the document's end),
+    head: at the first, the hash of all words up to its end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows_of(batches, "text"):
@@ -43,28 +58,70 @@ def anchors(docs: DataFrame) -> DataFrame:
             if not len(p):
                 continue
             ids = b.column("doc_id").to_numpy(zero_copy_only=False)
-            last = np.append(w.doc[p[1:]] != w.doc[p[:-1]], True)
-            nxt = np.append(p[1:], p[-1])
-            nxt[last] = p[last]
-            block = Spans(w.hash, SEQ[1]).of(p, nxt + GRAM)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[w.doc[p]], pa.int64()), pa.array(p - w.first[w.doc[p]], pa.int64()), pa.array(g[p].view(np.int64)), pa.array(block.view(np.int64), mask=last)], ["doc_id", "at", "anchor", "block"])
-
-    return docs.mapInArrow(run, "doc_id long, at long, anchor long, block long")
-
-
-def factors(at: np.ndarray, source: np.ndarray, source_at: np.ndarray, same: np.ndarray, own: int) -> list[tuple[int, int]]:
-    """Greedy parse: maximal word ranges that one earlier document holds verbatim,
-    as runs of blocks that go on there where they go on here."""
-    out, i = [], 0
+            doc = w.doc[p]
+            last = np.append(doc[1:] != doc[:-1], True)
+            first = np.insert(last[:-1], 0, True)
+            other = Spans(w.hash, SEQ[1])
+            block = other.of(p, np.where(last, w.first[doc + 1], np.append(p[1:], 0) + GRAM))
+            block[last] = mix(block[last])
+            head = other.of(w.first[doc], p + GRAM)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[doc], pa.int64()), pa.array((p - w.first[doc]).astype(np.int32)), pa.array(g[p].view(np.int64)), pa.array(block.view(np.int64)), pa.array(head.view(np.int64), mask=~first)], ["doc_id", "at", "anchor", "block", "head"])
+
+    return docs.mapInArrow(run, "doc_id long, at int, anchor long, block long, head long")
+
+
+def factors(at: np.ndarray, source: np.ndarray, source_at: np.ndarray, same: np.ndarray, head: np.ndarray, own: int) -> tuple[list, list, list]:
+    """Greedy parse: (copies, open, need). A copy is a maximal word range (s, e) of
+    WINDOW words or more that one earlier document holds verbatim, as blocks that
+    go on there where they go on here; e is END where it reaches the document's
+    end. The windows that hold an anchor of an earlier document and lie in no copy
+    start in the ranges open; each holds an anchor whose number is in need."""
+    out, open_, need, i = [], [], [], 0
+    back = WINDOW - GRAM
     while i < len(at):
         j = i
         if source[i] < own:
             while j + 1 < len(at) and same[j] and source[j + 1] == source[i] and source_at[j + 1] - source_at[j] == at[j + 1] - at[j]:
                 j += 1
-            if at[j] + GRAM - at[i] >= WINDOW:
-                out.append((int(at[i]), int(at[j]) + GRAM))
+            # The last block of a document is the same only where it also ends there.
+            tail = bool(same[j]) and j + 1 == len(at)
+            s, e = 0 if head[i] else int(at[i]), END if tail else int(at[j]) + GRAM
+            if e - s >= WINDOW:
+                out.append((s, e))
+                if not head[i]:
+                    open_.append((max(s - back, 0), s))
+                    need.append(i)
+                if not tail:
+                    open_.append((e - WINDOW + 1, int(at[j]) + 1))
+                    need.append(j)
+            else:
+                open_ += [(max(int(x) - back, 0), int(x) + 1) for x in at[i : j + 1]]
+                need += range(i, j + 1)
         i = j + 1
-    return out
+    return out, open_, need
+
+
+def parsed(hits: DataFrame) -> DataFrame:
+    """hit_id, copies, open, need (anchors), own (anchors that begin here, with
+    their places) of every document with shared anchors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for own, found in zip(b.column(0).to_pylist(), b.column(1)):
+                x = {k: found.values.field(k).to_numpy(zero_copy_only=False) for k in ("at", "source", "source_at", "same", "head", "anchor")}
+                copies, open_, need = factors(x["at"], x["source"], x["source_at"], x["same"], x["head"], own)
+                mine = x["source"] == own
+                rows.append((own, copies, open_, np.unique(x["anchor"][need]).tolist(), list(zip(x["at"][mine].tolist(), x["anchor"][mine].tolist()))))
+            pair = lambda y, z, t: pa.list_(pa.struct([(y, pa.int32()), (z, t)]))
+            kinds = [pa.int64(), pair("s", "e", pa.int32()), pair("s", "e", pa.int32()), pa.list_(pa.int64()), pair("at", "anchor", pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] if k in (0, 3) else [dict(zip([f.name for f in t.value_type], v)) for v in r[k]] for r in rows], t) for k, t in enumerate(kinds)], ["hit_id", "copies", "open", "need", "own"])
+
+    return hits.mapInArrow(run, "hit_id long, copies array<struct<s:int,e:int>>, open array<struct<s:int,e:int>>, need array<long>, own array<struct<at:int,anchor:long>>")
+
+
+def _few(ids: DataFrame) -> bool:
+    return ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
 
 
 def substring_dedup(docs: DataFrame) -> DataFrame:
@@ -72,79 +129,79 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
 
     The index holds the anchors of all documents with their earliest place (by
     doc_id). Each document is parsed greedily into factors against it; a factor of
-    WINDOW words or more is a copy. Windows that hold a shared anchor and lie in
-    no such factor, those at factor boundaries, are then looked up one by one by
-    128-bit hashes in a table of such windows of all documents; the earliest
-    document that has a window never has it inside a factor, so none is missed.
+    WINDOW words or more is a copy. Windows that hold an anchor of an earlier
+    document and lie in no such factor, those at factor boundaries, are then looked
+    up one by one by 128-bit hashes among such windows of all documents and, of the
+    documents where their anchors begin, the windows around these anchors; the
+    earliest document that has a window never has it inside a factor, so none is
+    missed. Where the ids concerned are few by count they go to the texts, and only
+    texts with shared anchors are shuffled.
     Null and word-free texts keep nothing (hash of ''). Documents of fewer than
     WINDOW words lose nothing. doc_id must be unique and not null.
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     a = written(anchors(d))
-    place = F.struct("doc_id", "at", "block")
+    place = F.struct("doc_id", "at", "block", "head")
     index = a.groupBy("anchor").agg(F.min(place).alias("source"), F.max("doc_id").alias("last"), F.count("*").alias("size"))
-    index = index.where(F.col("last") > F.col("source.doc_id")).select("anchor", "size", F.col("source.doc_id").alias("source"), F.col("source.at").alias("source_at"), F.col("source.block").alias("source_block"))
-    hits = hot_left_join(a, index.drop("last"), ["anchor"], "size", "at", "inner")
-    same = F.coalesce(F.col("block") == F.col("source_block"), F.lit(False))
-    hits = hits.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("at", "source", "source_at", same.alias("same")))).alias("anchors"))
-    hits = written(hits.withColumnRenamed("doc_id", "hit_id"))
-    texts = d.join(hits, d["doc_id"] == F.col("hit_id")).select("doc_id", "text", "anchors")
-
-    def parse(row) -> tuple[list[tuple[int, int]], np.ndarray]:
-        own, found = row
-        at, source, source_at, same_ = (np.array([x[k] for x in found]) for k in ("at", "source", "source_at", "same"))
-        return factors(at, source, source_at, same_, own), at
+    index = index.where(F.col("last") > F.col("source.doc_id")).select("anchor", "size", F.col("source.doc_id").alias("source"), F.col("source.at").alias("source_at"), F.col("source.block").alias("source_block"), F.col("source.head").alias("source_head"))
+    hits = hot_left_join(a, index, ["anchor"], "size", "at", "inner")
+    equal = lambda c: F.coalesce(F.col(c) == F.col(f"source_{c}"), F.lit(False)).alias("same" if c == "block" else c)
+    hits = hits.select("doc_id", F.struct("at", "source", "source_at", equal("block"), equal("head"), "anchor").alias("x"))
+    hits = hits.groupBy("doc_id").agg(F.sort_array(F.collect_list("x")).alias("anchors"))
+    p = written(parsed(hits))
+
+    need = p.select(F.explode("need").alias("need")).distinct()
+    own = p.select(F.col("hit_id").alias("own_id"), F.explode("own").alias("x")).select("own_id", "x.at", "x.anchor")
+    own = own.join(need, F.col("anchor") == F.col("need"), "left_semi").groupBy("own_id").agg(F.collect_list("at").alias("around"))
+    ranges = p.join(own, F.col("hit_id") == F.col("own_id"), "left").where("size(open) > 0 or around is not null")
+    near = lambda x: F.struct(F.greatest(x - (WINDOW - GRAM), F.lit(0)).alias("s"), (x + 1).alias("e"))
+    ranges = written(ranges.select("hit_id", "copies", F.concat("open", F.transform(F.coalesce("around", F.array().cast("array<int>")), near)).alias("open")))
+    few = _few(p)
+    ids = F.broadcast(p.select(F.col("hit_id").alias("few_id")))
+    concerned = d.join(ids, d["doc_id"] == F.col("few_id"), "left_semi") if few else d
+    texts = concerned.join(ranges, concerned["doc_id"] == F.col("hit_id")).select("doc_id", "text", "copies", "open")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows_of(batches, "text"):
             w = words(b.column("text"))
             one, two = (Spans(w.hash, s).grams(WINDOW) for s in SEQ)
             got = []
-            for i, (own, found) in enumerate(zip(b.column("doc_id").to_pylist(), b.column("anchors").to_pylist())):
+            for i, (own, copies, open_) in enumerate(zip(*(b.column(c).to_pylist() for c in ("doc_id", "copies", "open")))):
                 n = int(w.first[i + 1] - w.first[i])
                 if n < WINDOW:
                     continue
-                copies, at = parse((own, found))
-                step = np.zeros(n + 1, np.int32)  # window starts around shared anchors
-                np.add.at(step, np.maximum(at - (WINDOW - GRAM), 0), 1)
-                np.add.at(step, np.minimum(at, n - WINDOW) + 1, -1)
-                open_ = np.cumsum(step[:n]) > 0
-                for s, e in copies:
-                    open_[s : e - WINDOW + 1] = False
-                start = np.flatnonzero(open_[: n - WINDOW + 1])
+                wanted = covered(open_, n)[: n - WINDOW + 1]
+                for x in copies:
+                    wanted[x["s"] : max(min(x["e"], n) - WINDOW + 1, 0)] = False
+                start = np.flatnonzero(wanted)
                 got.append((own, start, w.first[i] + start))
             if got:
                 every = np.concatenate([x[2] for x in got])
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat([x[0] for x in got], [len(x[1]) for x in got]), pa.int64()), pa.array(np.concatenate([x[1] for x in got]), pa.int64()), pa.array(one[every].view(np.int64)), pa.array(two[every].view(np.int64))], ["doc_id", "start", "h1", "h2"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat([x[0] for x in got], [len(x[1]) for x in got]), pa.int64()), pa.array(np.concatenate([x[1] for x in got]).astype(np.int32)), pa.array(one[every].view(np.int64)), pa.array(two[every].view(np.int64))], ["doc_id", "start", "h1", "h2"])
 
-    windows = written(texts.mapInArrow(run, "doc_id long, start long, h1 long, h2 long"))
+    windows = written(texts.mapInArrow(run, "doc_id long, start int, h1 long, h2 long"))
     first = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("size")).where("last > first").drop("last")
     dup = hot_left_join(windows, first, ["h1", "h2"], "size", "start", "inner").where(F.col("first") < F.col("doc_id"))
-    dup = dup.groupBy("doc_id").agg(F.sort_array(F.collect_list("start")).alias("starts")).withColumnRenamed("doc_id", "dup_id")
-    marks = hits.join(dup, F.col("hit_id") == F.col("dup_id"), "left").select(F.col("hit_id").alias("mark_id"), "anchors", "starts")
-    all_ = d.join(marks, d["doc_id"] == F.col("mark_id"), "left").select("doc_id", "text", "anchors", "starts")
+    dup = dup.groupBy("doc_id").agg(F.collect_list(F.struct(F.col("start").alias("s"), (F.col("start") + WINDOW).alias("e"))).alias("more")).withColumnRenamed("doc_id", "dup_id")
+    marks = p.join(dup, F.col("hit_id") == F.col("dup_id"), "left").select(F.col("hit_id").alias("mark_id"), F.concat("copies", F.coalesce("more", F.slice("copies", 1, 0))).alias("gone"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows_of(batches, "text"):
             out = []
-            for own, text, found, starts in zip(b.column("doc_id").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), b.column("anchors").to_pylist(), b.column("starts").to_pylist()):
+            for own, text, gone in zip(b.column("doc_id").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), b.column("gone").to_pylist()):
                 w = text.split()
                 n = len(w)
-                if found:
-                    step = np.zeros(n + WINDOW + 1, np.int32)
-                    for s, e in parse((own, found))[0]:
-                        step[s] += 1
-                        step[e] -= 1
-                    s = np.array(starts or [], np.int64)
-                    np.add.at(step, s, 1)
-                    np.add.at(step, s + WINDOW, -1)
-                    gone = np.cumsum(step)[:n] > 0
-                    if gone.any():
-                        w = [w[k] for k in np.flatnonzero(~gone)]
+                if gone:
+                    w = [w[k] for k in np.flatnonzero(~covered([x for x in gone if min(x["e"], n) - x["s"] >= WINDOW], n))]
                 out.append((own, n, n - len(w), hashlib.sha256(b" ".join(w)).hexdigest()))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out]) for k in range(4)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return all_.mapInArrow(remove, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    final = "doc_id long, n_words long, n_removed long, kept_sha256 string"
+    if not few:
+        return d.join(marks, d["doc_id"] == F.col("mark_id"), "left").select("doc_id", "text", "gone").mapInArrow(remove, final)
+    marked = concerned.join(marks, concerned["doc_id"] == F.col("mark_id")).select("doc_id", "text", "gone")
+    rest = d.join(ids, d["doc_id"] == F.col("few_id"), "left_anti").select("doc_id", "text", F.lit(None).cast("array<struct<s:int,e:int>>").alias("gone"))
+    return marked.mapInArrow(remove, final).unionByName(rest.mapInArrow(remove, final))
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
