@@ -68,7 +68,9 @@ def hot_left_join(left: DataFrame, groups: DataFrame, keys: list[str], size: str
     a = a.withColumn("join_salt", F.when(served, F.xxhash64(spread)).otherwise(F.lit(0)))
     b = groups.select(*[F.col(k).alias(f"g_{k}") for k in keys], *[F.col(c).alias(f"g_{c}") for c in cols])
     # Served rows get a salt that no group has; the salt is part of the equi-join.
-    b = b.withColumn("g_salt", F.lit(0).cast("long"))
+    # It is always 0 here but no literal: a literal would be folded out of the
+    # join's keys, and the served rows of a hot key would meet in one task.
+    b = b.withColumn("g_salt", F.xxhash64(*[f"g_{k}" for k in keys]).bitwiseAND(F.lit(0).cast("long")))
     out = a.join(b, [a[k] == b[f"g_{k}"] for k in keys] + [F.col("join_salt") == F.col("g_salt")], "left")
     got = [F.when(served, F.col(f"hot_{c}")).otherwise(F.col(f"g_{c}")).alias(c) for c in cols]
     if how == "inner":

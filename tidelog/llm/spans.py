@@ -144,7 +144,7 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     place = F.struct("doc_id", "at", "block", "head")
     index = a.groupBy("anchor").agg(F.min(place).alias("source"), F.max("doc_id").alias("last"), F.count("*").alias("size"))
     index = index.where(F.col("last") > F.col("source.doc_id")).select("anchor", "size", F.col("source.doc_id").alias("source"), F.col("source.at").alias("source_at"), F.col("source.block").alias("source_block"), F.col("source.head").alias("source_head"))
-    hits = hot_left_join(a, index, ["anchor"], "size", "at", "inner")
+    hits = hot_left_join(a, index, ["anchor"], "size", "doc_id", "inner")
     equal = lambda c: F.coalesce(F.col(c) == F.col(f"source_{c}"), F.lit(False)).alias("same" if c == "block" else c)
     hits = hits.select("doc_id", F.struct("at", "source", "source_at", equal("block"), equal("head"), "anchor").alias("x"))
     hits = hits.groupBy("doc_id").agg(F.sort_array(F.collect_list("x")).alias("anchors"))
@@ -181,7 +181,7 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
 
     windows = written(texts.mapInArrow(run, "doc_id long, start int, h1 long, h2 long"))
     first = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("size")).where("last > first").drop("last")
-    dup = hot_left_join(windows, first, ["h1", "h2"], "size", "start", "inner").where(F.col("first") < F.col("doc_id"))
+    dup = hot_left_join(windows, first, ["h1", "h2"], "size", "doc_id", "inner").where(F.col("first") < F.col("doc_id"))
     dup = dup.groupBy("doc_id").agg(F.collect_list(F.struct(F.col("start").alias("s"), (F.col("start") + WINDOW).alias("e"))).alias("more")).withColumnRenamed("doc_id", "dup_id")
     marks = p.join(dup, F.col("hit_id") == F.col("dup_id"), "left").select(F.col("hit_id").alias("mark_id"), F.concat("copies", F.coalesce("more", F.slice("copies", 1, 0))).alias("gone"))
 
