@@ -253,6 +253,29 @@ def test_mixture():
         last = now
 
 
+@pytest.mark.parametrize("queues", [3, 20, 41])
+def test_mixture_whole(queues):
+    r = random.Random(queues)
+    mixes = [[10, 10, 4077]] if queues == 3 else []
+    for rest in range(pack.LENGTH):
+        total = [r.choice([1, 10, 100]) for _ in range(queues - 1)]
+        mixes.append([*total, (rest - sum(total)) % pack.LENGTH + pack.LENGTH])
+    for total in mixes:
+        mix = pack.Mixture(total)
+        steps = [mix.taken(w) for w in range(mix.windows + 2)]
+        assert all(0 <= a <= b <= t for x, y in zip(steps, steps[1:]) for a, b, t in zip(x, y, total))
+        assert [sum(x) for x in steps] == [w * pack.LENGTH for w in range(mix.windows + 1)] + [sum(total)]
+        seen = {}
+        for q, n in enumerate(total):
+            for start, m, seq, off in pack.cut(q, 0, n, mix):
+                seen.setdefault(seq, []).append((off, m))
+        assert sum(m for s in seen.values() for _, m in s) == sum(total)
+        for seq, s in seen.items():
+            s.sort()
+            assert [o for o, _ in s] == [sum(m for _, m in s[:i]) for i in range(len(s))]
+            assert seq >= mix.windows or sum(m for _, m in s) == pack.LENGTH
+
+
 def test_plain_words():
     enc = pack.WordEncoder(pack.tokenizer_file())
     rows = ["Don't stop, É été; naïve Straße. ÀÖ!", "<|endoftext|>x a<|startoftext|>", "1234 a1b2 日本 éa", "", None, "x y"]

@@ -209,7 +209,9 @@ class Mixture:
     Queue q, of total[q] ids, has had floor(w * LENGTH * total[q] / sum) ids after
     w windows: its deficit, the fraction, is carried from window to window and,
     being a function of w, from partition to partition without any message. The
-    largest queue takes up what the others' fractions leave of a window.
+    largest queue takes up what the others' fractions leave of a window; where that
+    is more than it has, after the last window, those of the largest fractions take
+    one id more each.
     """
 
     def __init__(self, total: list[int]):
@@ -217,13 +219,23 @@ class Mixture:
         self.total = [int(t) for t in total]
         self.sum = sum(self.total)
         self.windows = self.sum // LENGTH
+        # The last queue has sum / len(total) ids or more, so before the last window
+        # it has LENGTH / len(total) left, more than the others' fractions.
+        assert len(self.total) * len(self.total) <= LENGTH
+        assert all(a <= b for a, b in zip(self.taken(self.windows), self.total))
 
     def taken(self, w: int) -> list[int]:
         """Ids of each queue in the first w windows (all of them after the last)."""
         if w > self.windows:
             return self.total
         got = [w * LENGTH * t // max(self.sum, 1) for t in self.total[:-1]]
-        return [*got, w * LENGTH - sum(got)]
+        last = w * LENGTH - sum(got)
+        if last > self.total[-1]:
+            part = [w * LENGTH * t % self.sum for t in self.total[:-1]]
+            for q in sorted(range(len(got)), key=lambda q: -part[q])[: last - self.total[-1]]:
+                got[q] += 1
+            last = self.total[-1]
+        return [*got, last]
 
     def window_of(self, q: int, at: int) -> int:
         """The window that holds place `at` of queue q."""
