@@ -276,6 +276,43 @@ def test_mixture_whole(queues):
             assert seq >= mix.windows or sum(m for _, m in s) == pack.LENGTH
 
 
+def test_tree():
+    r = random.Random(8)
+    for total in ([1], [1, 1], [5, 1, 1, 9], [r.choice([1, 2, 7, 90]) for _ in range(60)]):
+        root, steps = sum(total), pack.paths(total)
+        got = [[pack.climb(root, p, at) for at in range(n)] for p, n in zip(steps, total)]
+        assert sorted(sum(got, [])) == list(range(root)) and all(x == sorted(x) for x in got)
+        for t in range(root + 1):
+            for p, n, x in zip(steps, total, got):
+                had = pack.divide(root, p, 0, t)[1]
+                assert had == sum(a < t for a in x) and abs(had - t * n / root) < 4
+
+
+@pytest.mark.parametrize("leaves", [4096, 16])
+def test_pack_many_sources(spark, monkeypatch, leaves):
+    monkeypatch.setattr(pack, "LEAVES", leaves, raising=False)
+    size = lambda i: 5 + i % 100 % 7 * 3
+    rows = [(i, " ".join(["word"] * 12 * size(i)), f"s{i % 100}") for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    had, length, total = {}, {}, [0] * 100
+    for r in pack.pack(df).collect():
+        s = r.doc_id % 100
+        had.setdefault(r.sequence_id, [0] * 100)[s] += r.length
+        length.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        total[s] += r.length
+    assert total == [sum(12 * size(i) + 1 for i in range(s, 1500, 100)) for s in range(100)]
+    for s in length.values():
+        s.sort()
+        assert [o for o, _ in s] == [sum(n for _, n in s[:i]) for i in range(len(s))]
+    full, so_far, worst = sum(total) // pack.LENGTH, np.zeros(100), 0
+    for w in range(full):
+        assert sum(had[w]) == pack.LENGTH
+        so_far += had[w]
+        off = np.sort(np.abs(so_far - (w + 1) * pack.LENGTH * np.array(total) / sum(total)))
+        worst = max(worst, off[-1])
+    assert full > 50 and worst < 10, worst
+
+
 def test_plain_words():
     enc = pack.WordEncoder(pack.tokenizer_file())
     rows = ["Don't stop, É été; naïve Straße. ÀÖ!", "<|endoftext|>x a<|startoftext|>", "1234 a1b2 日本 éa", "", None, "x y"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import heapq
 import itertools
 import json
 import zlib
@@ -19,8 +20,11 @@ from .words import U, Words, words
 
 #: Length of a sequence; the id after each document.
 LENGTH, END = 4096, 2
-#: Sources with a queue of their own; those beyond, by tokens, share one more.
+#: Sources with a queue of their own; those beyond, by tokens, are the leaves of a
+#: tree that divides one more queue.
 QUEUES = 40
+#: Sources of one task that builds a part of the tree, on average.
+LEAVES = 4096
 #: Documents that one running sum covers, on average.
 RUN = 4096
 #: Words whose ids a worker keeps between batches.
@@ -247,6 +251,50 @@ class Mixture:
         return w
 
 
+def paths(weights: list[int]) -> list[list[int]]:
+    """For each weight, its steps down a Huffman tree: the weight of the child, less
+    than 0 for a right one. An inner node has two thirds of its parent at most, so
+    rounding adds up to less than 3 ids on the way down, whatever the depth."""
+    heap = [(w, i, i) for i, w in enumerate(weights)]
+    heapq.heapify(heap)
+    up: dict[int, tuple[int, int]] = {}
+    for made in range(len(weights), 2 * len(weights) - 1):
+        (a, _, x), (b, _, y) = heapq.heappop(heap), heapq.heappop(heap)
+        up[x], up[y] = (made, a), (made, -b)
+        heapq.heappush(heap, (a + b, made, made))
+    out = []
+    for node in range(len(weights)):
+        path = []
+        while node in up:
+            node, step = up[node]
+            path.append(step)
+        out.append(path[::-1])
+    return out
+
+
+def divide(total: int, path: list[int], low: int, high: int) -> tuple[int, int, int]:
+    """(low, high, ids left of the leaf) of the leaf's ids when the root, of total ids,
+    has its ids low to high. Of the first t ids of a node the left child has
+    floor(t * left / node), so both children grow with t, one of them by one a step,
+    and end at their totals: no id is lost and no deficit needs to be kept."""
+    before = 0
+    for step in path:
+        left = step if step > 0 else total + step
+        a, b = low * left // total, high * left // total
+        if step > 0:
+            low, high, total = a, b, step
+        else:
+            low, high, total, before = low - a, high - b, -step, before + b - a
+    return low, high, before
+
+
+def climb(total: int, path: list[int], at: int) -> int:
+    """The place at the root of place `at` of the leaf."""
+    for parent, step in reversed(list(zip([total, *map(abs, path)], path))):
+        at = -(-(at + 1) * parent // step) - 1 if step > 0 else at * parent // -step
+    return at
+
+
 def tail_parts(n: int) -> list[tuple[int, int]]:
     """Powers of two, falling, that make up the ids after the last full window."""
     out, at = [], 0
@@ -257,17 +305,19 @@ def tail_parts(n: int) -> list[tuple[int, int]]:
     return out
 
 
-def cut(q: int, at: int, n: int, mix: Mixture) -> list[tuple[int, int, int, int]]:
+def cut(q: int, at: int, n: int, mix: Mixture, path: list[int] | None = None) -> list[tuple[int, int, int, int]]:
     """(start in the document, length, sequence, offset) of the pieces of n ids that
-    lie from place `at` on in queue q."""
+    lie from place `at` on in queue q, or in the leaf at the end of path in it."""
     out, done = [], 0
-    w = mix.window_of(q, at)
+    path = path or []
+    w = mix.window_of(q, climb(mix.total[q], path, at))
     low = mix.taken(w)
     while done < n:
         high = mix.taken(w + 1)
-        m = min(n - done, high[q] - (at + done))
+        first, end, before = divide(mix.total[q], path, low[q], high[q])
+        m = min(n - done, end - (at + done))
         if m > 0:
-            offset = sum(high[:q]) - sum(low[:q]) + at + done - low[q]
+            offset = sum(high[:q]) - sum(low[:q]) + before + at + done - first
             if w < mix.windows:
                 out.append((done, m, w, offset))
             else:
@@ -280,11 +330,30 @@ def cut(q: int, at: int, n: int, mix: Mixture) -> list[tuple[int, int, int, int]
     return out
 
 
+def leaf_paths(totals: DataFrame, count: int) -> DataFrame:
+    """source, path (steps down to it, see paths()) of each row of totals (source,
+    ids), of which there are count. A driver's tree has groups of sources as leaves,
+    one row for LEAVES sources; each group's task adds its own tree below."""
+    groups = max(1, count // LEAVES)
+    t = totals.select("source", "ids", F.pmod(F.xxhash64("source"), F.lit(groups)).alias("part"))
+    sums = [tuple(r) for r in t.groupBy("part").agg(F.sum("ids")).orderBy("part").collect()]
+    above = totals.sparkSession.sparkContext.broadcast(dict(zip([g for g, _ in sums], paths([n for _, n in sums]))))
+
+    def tree(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["ids", "source"])
+        head = above.value[int(pdf["part"].iloc[0])]
+        return pd.DataFrame({"source": pdf["source"], "path": [head + p for p in paths(pdf["ids"].tolist())]})
+
+    return t.groupBy("part").applyInPandas(tree, "source string, path array<long>")
+
+
 def pack(docs: DataFrame, file: str | None = None) -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    Every window of LENGTH ids has its sources in the proportion of the corpus, to
-    less than one id a source (the largest source: QUEUES ids). Nothing is
+    The windows of LENGTH ids have the sources in the proportion of the corpus: after
+    every window each of the QUEUES largest is less than one id off its share (the
+    largest queue: QUEUES ids), and each of the others, however many, less than 5
+    ids off its share of what their common queue has had. Nothing is
     padded: the ids after the last full window form sequences of falling powers of
     two. Null texts are empty, and an empty document is its END id; null sources
     count as ''. Rows that repeat a doc_id or a text are packed each. Without rows
@@ -294,6 +363,7 @@ def pack(docs: DataFrame, file: str | None = None) -> DataFrame:
     t = written(tokenized(docs, file).withColumn("row", F.monotonically_increasing_id()))
     totals = t.groupBy("source").agg(F.sum("n").alias("ids"), F.count("*").alias("rows"))
     # At most QUEUES rows by source come to the driver, and one for the rest.
+    totals = written(totals)
     top = [tuple(r) for r in totals.orderBy(F.desc("ids"), "source").limit(QUEUES).collect()]
     all_ids, all_rows = totals.agg(F.coalesce(F.sum("ids"), F.lit(0)), F.coalesce(F.sum("rows"), F.lit(0))).first()
     rest = all_ids - sum(r[1] for r in top)
@@ -302,23 +372,33 @@ def pack(docs: DataFrame, file: str | None = None) -> DataFrame:
     size.sort(key=lambda x: (x[0], x[1] or ""))
     names, other = {s: q for q, (_, s) in enumerate(size) if s is not None}, next((q for q, (_, s) in enumerate(size) if s is None), 0)
     mix = Mixture([n for n, _ in size])
+    keys = ["queue", "source"] if rest else ["queue"]
     buckets = max(1, int(all_rows) // RUN)
     queue = F.coalesce(F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[F.col("source")], F.lit(other)) if names else F.lit(0)
-    narrow = t.select("row", "n", queue.cast("int").alias("queue"), F.pmod(F.xxhash64("row"), F.lit(buckets)).alias("bucket"))
-    # Places in the queues: sums of buckets first, then running sums inside a bucket.
-    sums = narrow.groupBy("queue", "bucket").agg(F.sum("n").alias("ids"), F.count("*").alias("rows"))
-    w = Window.partitionBy("queue").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    base = sums.select("queue", "bucket", F.coalesce(F.sum("ids").over(w), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("queue", "bucket").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
-    placed = narrow.withColumn("before", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(base, ["queue", "bucket"])
-    placed = placed.select("row", "queue", (F.col("base") + F.col("before")).alias("at"))
-    wide = t.select("row", "doc_id", "n", "ids").join(placed, "row").select("doc_id", "n", "ids", "queue", "at")
+    own = [F.when(queue == other, F.col("source")).otherwise("").alias("source")] if rest else []
+    narrow = t.select("row", "n", queue.cast("int").alias("queue"), *own, F.pmod(F.xxhash64("row"), F.lit(buckets)).alias("bucket"))
+    # Places in the queues, or in the sources of the common one: sums of buckets
+    # first, then running sums inside a bucket.
+    sums = narrow.groupBy(*keys, "bucket").agg(F.sum("n").alias("ids"), F.count("*").alias("rows"))
+    w = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select(*keys, "bucket", F.coalesce(F.sum("ids").over(w), F.lit(0)).alias("base"))
+    path = F.lit(None).cast("array<long>").alias("path")
+    if rest:
+        # A source has at most one row a bucket here, however many documents it has.
+        few = totals.where(~F.col("source").isin(list(names)))
+        leaves = leaf_paths(few, few.count()).withColumnRenamed("source", "leaf")
+        base = base.join(leaves, (base["queue"] == other) & (base["source"] == F.col("leaf")), "left").drop("leaf")
+        path = F.col("path")
+    inside = Window.partitionBy(*keys, "bucket").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+    placed = narrow.withColumn("before", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(base, [*keys, "bucket"])
+    placed = placed.select("row", "queue", path, (F.col("base") + F.col("before")).alias("at"))
+    wide = t.select("row", "doc_id", "n", "ids").join(placed, "row").select("doc_id", "n", "ids", "queue", "at", "path")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows_of(batches, "ids", 4 << 20):
             out = []
-            for doc, n, ids, q, at in zip(*(b.column(c).to_pylist() for c in ("doc_id", "n", "ids", "queue", "at"))):
-                for start, m, seq, off in cut(q, at, n, mix):
+            for doc, n, ids, q, at, path in zip(*(b.column(c).to_pylist() for c in ("doc_id", "n", "ids", "queue", "at", "path"))):
+                for start, m, seq, off in cut(q, at, n, mix, path):
                     out.append((doc, start, m, zlib.crc32(ids[4 * start : 4 * (start + m)]), n, seq, off))
             cols = list(zip(*out)) or [()] * 7
             names_ = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
