@@ -202,6 +202,37 @@ def test_secrets(spark):
     assert all(k in ("assign", "access", "hex", "crf") for k, _, _ in every)
 
 
+def test_secrets_all_tokens(monkeypatch):
+    r = random.Random(4)
+    voc = ["".join(r.choice("etaoinshr") for _ in range(r.randint(2, 9))) for _ in range(300)]
+    say = lambda n: " ".join(r.choice(voc) for _ in range(n))
+    texts = [f'{say(30)} token = "{r.getrandbits(160):040x}" {say(30)}' for _ in range(60)] + [say(60) for _ in range(60)]
+    model = secrets.train(texts)
+    for secret in ("correcthorsebattery", "P@ssw0rd!x", "QmZhTrWkLpXs"):
+        text = f"{say(20)} password is {secret} {say(300)}"
+        base, every = secrets.all_spans(text, model)
+        assert base == [] and [text[a:b] for _, a, b in every] == [secret], secret
+    for text in (say(400), "", " "):
+        assert secrets.all_spans(text, model) == ([], [])
+    text = " ".join(f"{say(9)} password is P@ssw0rd!x{i} {say(9)}" for i in range(40))
+    whole = secrets.all_spans(text, model)
+    monkeypatch.setattr(secrets, "CHARS", 500)
+    monkeypatch.setattr(secrets, "SHARED", 100)
+    assert secrets.all_spans(text, model) == whole and len(whole[1]) == 40
+    # The stretches give what one chain gives, and kept rows what features() gives.
+    model.state, model.move = np.random.default_rng(3).normal(size=model.state.shape), np.random.default_rng(4).normal(size=(3, 3))
+    monkeypatch.setattr(secrets, "STRETCH", 7)
+    score, want = [], []
+    for text in texts[:3]:
+        rows = secrets.features(text)
+        score.append(secrets.Emission(model.state).scores(*secrets.tokens(text)[:2]))
+        assert np.allclose(score[-1], model.state[rows].sum(1))
+        want += model.viterbi(rows.tolist())
+    new = np.zeros(sum(map(len, score)), bool)
+    new[np.cumsum([0, *map(len, score[:-1])])] = True
+    assert model.decode(np.concatenate(score), new).tolist() == want
+
+
 def test_toxicity(spark):
     r = random.Random(3)
     good, bad = [f"g{i}ood" for i in range(80)], ["grumbly", "grumblier", "grumbles"]

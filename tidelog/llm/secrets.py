@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import random
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import rows_of, table
 
 #: (kind, pattern, group whose length counts, least length), in the contract's order.
 BASE = [
@@ -19,16 +22,19 @@ BASE = [
     ("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 18),
     ("hex", re.compile(r"[0-9a-f]+"), 0, 16),
 ]
-#: Runs that may be (part of) a secret; all other words are outside by definition,
-#: so a sequence to decode is a run of neighbouring such tokens.
-TOKEN = re.compile(r"(?<![A-Za-z0-9+/_.-])(?=[A-Za-z+/_.-]{0,64}[0-9])[A-Za-z0-9+/_.-]{8,}")
-NEAR = re.compile(r"(password|passwd|pwd|secret|token|api_?key|key|bearer|auth|credential)\W{0,6}$", re.I | re.A)
+#: Every token of a text, after what parts it from the one before.
+TOKEN = re.compile(r"""([\s"'`=:<>(){}\[\],;|]*)([^\s"'`=:<>(){}\[\],;|]+)""")
+CUE = re.compile(r"(?:\w*[_.-])?(password|passwd|passphrase|pwd|secret|token|api_?key|key|bearer|auth|credentials?)[.?!]?", re.I | re.A)
 LONG_HEX = re.compile(r"[0-9a-f]{16}")
 OUT, BEGIN, IN = 0, 1, 2
 #: Hash buckets of features, and the bound of the training sample: documents with
 #: and without a base span, in the order of a hash of doc_id.
 BUCKETS, SAMPLE_ROWS, SAMPLE_BYTES = 4096, 400, 20_000
 EPOCHS, RATE, DECAY = 60, 0.5, 1e-3
+#: Tokens of a stretch, tokens a worker keeps, characters decoded at once and those
+#: that such pieces of a longer text share on either side.
+STRETCH, CACHE, CHARS, SHARED = 128, 1 << 18, 1 << 21, 1 << 12
+LOW = -1e9
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -41,33 +47,86 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(out, key=lambda s: (s[1], rank[s[0]], s[2]))
 
 
-def chains(text: str) -> list[list[tuple[int, int]]]:
-    """Candidate tokens, in chains of those that only one separator parts."""
-    out: list = []
-    for m in TOKEN.finditer(text):
-        if out and m.start() - out[-1][-1][1] <= 1:
-            out[-1].append(m.span())
-        else:
-            out.append([m.span()])
-    return out
+def tokens(text: str) -> tuple[list[str], list[str], np.ndarray, np.ndarray]:
+    """Separators before, tokens, and their starts and ends."""
+    found = TOKEN.findall(text)
+    seps, toks = [x for x, _ in found], [x for _, x in found]
+    size = np.fromiter(map(len, toks), np.int64, len(toks))
+    ends = np.cumsum(size + np.fromiter(map(len, seps), np.int64, len(toks)))
+    return seps, toks, ends - size, ends
+
+
+def bucket(name: str) -> int:
+    return zlib.crc32(name.encode("utf-8", "surrogatepass")) % BUCKETS
+
+
+SHAPE = str.maketrans("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "a" * 26 + "A" * 26 + "9" * 10)
+RUNS = re.compile(r"(.)\1+", re.S)
+
+
+@functools.lru_cache(1 << 16)
+def common(kind: str, size: int, digits: int, shape: str) -> tuple[list[int], list[int]]:
+    """Features of all tokens of one shape, without and with a cue before them."""
+    own = [f"k{kind}", f"k{kind}{size}", f"d{digits}", f"s{size}", f"p{shape}"]
+    plain, near = ([bucket(x) for x in [*own, f"w{n}{kind}", f"w{n}s{size}", f"w{n}"]] for n in (False, True))
+    return plain, near
+
+
+def shape_of(t: str) -> tuple[list[int], list[int], int, bool]:
+    """Features of a token without and with a cue before it, the one it is for the
+    token after it, and whether it is a cue."""
+    shape = t[:64].translate(SHAPE)
+    kind = "hex" if not t.strip("0123456789abcdef") else "up" if t.isupper() and t.isalnum() else "num" if not t.strip("0123456789.-") else "low" if t.isalpha() and t.islower() else "mix" if t.isalnum() else "sym"
+    plain, near = common(kind, min(len(t) // 4, 12), shape.count("9") * 4 // len(shape), RUNS.sub(r"\1", shape)[:6])
+    own = bucket(f"x{t[:4]}")
+    return [*plain, own], [*near, own], bucket(f"l{t[-8:].lower()}"), CUE.fullmatch(t) is not None
+
+
+def features(text: str) -> np.ndarray:
+    """Feature buckets of each token: shape, cues among the two tokens before it,
+    the token before it and the separators around it."""
+    seps, toks, _, _ = tokens(text)
+    got, rows = [shape_of(t) for t in toks], []
+    for i, g in enumerate(got):
+        near = any(x[3] for x in got[max(0, i - 2) : i])
+        after = seps[i + 1][:1] if i + 1 < len(got) else ""
+        rows.append([*g[near], got[i - 1][2] if i else bucket("l"), bucket(f"b{seps[i][-2:]}"), bucket(f"a{after}")])
+    return np.array(rows, np.int64).reshape(len(rows), 12)
+
+
+class Emission(dict):
+    """Rows of token scores by token, made when first met."""
 
+    def __init__(self, state: np.ndarray):
+        super().__init__()
+        self.state, self.rows = state, np.zeros((1024, 10))
 
-def features(text: str, chain: list[tuple[int, int]], many: bool) -> list[list[int]]:
-    """Feature buckets of each token: shape, neighbouring words and the file."""
-    rows = []
-    for a, b in chain:
-        t = text[a:b]
-        digits = sum(c.isdigit() for c in t) * 4 // len(t)
-        kind = "hex" if not t.strip("0123456789abcdef") else "up" if t.isupper() and t.isalnum() else "num" if not t.strip("0123456789.-") else "mix" if t.isalnum() else "sym"
-        size = min(len(t) // 4, 12)
-        before, after = text[max(0, a - 24) : a], text[b : b + 2]
-        word = NEAR.search(before)
-        sep = re.sub(r"\w", "", before[-4:])
-        shape = re.sub(r"(.)\1+", r"\1", re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub("[0-9]", "9", t))))[:6]
-        last = before.split()[-1:] or [""]
-        names = [f"k{kind}", f"k{kind}{size}", f"d{digits}", f"s{size}", f"p{shape}", f"w{word[1].lower() if word else ''}", f"w{bool(word)}{kind}", f"b{sep}", f"a{after[:1]}", f"x{t[:4]}", f"f{many}", f"l{last[0].lower()[-8:]}", "1"]
-        rows.append([int.from_bytes(hashlib.blake2b(n.encode(), digest_size=4).digest(), "little") % BUCKETS for n in names])
-    return rows
+    def meet(self, new: list[str]) -> None:
+        got = [shape_of(t) for t in new]
+        plain, near, after = (self.state[np.array([g[i] for g in got])] for i in range(3))
+        rows = np.concatenate([plain.sum(1), near.sum(1), after, np.array([[g[3]] for g in got])], 1)
+        while len(self) + len(new) > len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        self.rows[len(self) : len(self) + len(new)] = rows
+        self.update(zip(new, range(len(self), len(self) + len(new))))
+
+    def scores(self, seps: list[str], toks: list[str]) -> np.ndarray:
+        """What Chain.scores() gives for features(), from the kept rows."""
+        if len(self) > CACHE:
+            self.clear()
+        if new := [t for t in set(toks) if t not in self]:
+            self.meet(new)
+        at = np.fromiter(map(self.__getitem__, toks), np.int64, len(toks))
+        r = self.rows[at]
+        cue = np.concatenate([[0, 0], r[:, 9]])
+        near = (cue[1:-1] + cue[:-2]) > 0
+        out = np.where(near[:, None], r[:, 3:6], r[:, :3])
+        out[1:] += r[:-1, 6:9]
+        out[:1] += self.state[bucket("l")]
+        names = {x: i for i, x in enumerate({*seps, ""})}
+        part = np.fromiter(map(names.__getitem__, seps), np.int64, len(seps))
+        out += np.array([self.state[bucket(f"b{x[-2:]}")] for x in names])[part]
+        return out + np.array([self.state[bucket(f"a{x[:1]}")] for x in names])[np.append(part[1:], names[""])]
 
 
 class Chain:
@@ -95,69 +154,165 @@ class Chain:
             out.append(int(b[out[-1]]))
         return out[::-1]
 
-    def learn(self, data: list[tuple[list[list[int]], list[int]]]) -> None:
-        """Maximum likelihood with weight decay: AdaGrad on forward-backward marginals."""
+    def decode(self, s: np.ndarray, new: np.ndarray) -> np.ndarray:
+        """viterbi() of chains in a row by their scores and a flag at the first token of
+        each. Stretches are solved side by side for every state before them, then
+        joined, so the tags are the best of the whole chains."""
+        n = len(s)
+        k = -(-n // STRETCH)
+        s = np.concatenate([s, np.zeros((k * STRETCH - n, 3))]).reshape(k, STRETCH, 3)
+        new = np.concatenate([new, np.ones(k * STRETCH - n, bool)]).reshape(k, STRETCH)
+        move = self.move.copy()
+        move[OUT, IN] = LOW
+        reset = np.array([[0, 0, LOW]] * 3)
+        best = np.broadcast_to(np.where(np.eye(3, dtype=bool), 0, 2 * LOW), (k, 3, 3))
+        back = np.zeros((STRETCH, k, 3, 3), np.int8)
+        for t in range(STRETCH):
+            way = best[:, :, :, None] + np.where(new[:, t, None, None], reset, move)[:, None]
+            back[t] = way.argmax(2)
+            best = way.max(2) + s[:, t, None, :]
+        value, came = np.zeros(3), []
+        for b in best:
+            way = value[:, None] + b
+            came.append(way.argmax(0))
+            value = way.max(0)
+            value = value - value.max()
+        last, first, state = np.zeros(k, np.int64), np.zeros(k, np.int64), int(value.argmax()) if k else 0
+        for i in range(k - 1, -1, -1):
+            last[i], first[i] = state, came[i][state]
+            state = int(first[i])
+        out, row = np.zeros((STRETCH, k), np.int8), np.arange(k)
+        for t in range(STRETCH - 1, -1, -1):
+            out[t] = last
+            last = back[t][row, first, last]
+        return out.T.reshape(-1)[:n]
+
+    def learn(self, data: list[tuple[np.ndarray, list[int]]]) -> None:
+        """Maximum likelihood with weight decay: AdaGrad on forward-backward marginals,
+        of stretches side by side."""
+        data = [(r[a : a + STRETCH], g[a : a + STRETCH]) for r, g in data for a in range(0, len(r), STRETCH)]
+        if not data:
+            return
+        size = np.array([len(r) for r, _ in data])
+        k, top = len(data), lambda x, axis: (m := x.max(axis, keepdims=True)).squeeze(axis) + np.log(np.exp(x - m).sum(axis))
+        on = np.arange(size.max())[None] < size[:, None]
+        rows = np.concatenate([r for r, _ in data])
+        gold = np.zeros(on.shape, np.int64)
+        gold[on] = np.concatenate([g for _, g in data])
+        hot, both = np.eye(3)[gold] * on[:, :, None], on[:, 1:]
+        pairs = np.array([[((gold[:, :-1] == a) & (gold[:, 1:] == b) & both).sum() for b in range(3)] for a in range(3)])
         gs, gm = np.full_like(self.state, 1e-6), np.full_like(self.move, 1e-6)
-        top = lambda x, axis: (m := x.max(axis, keepdims=True)).squeeze(axis) + np.log(np.exp(x - m).sum(axis))
-        for _ in range(EPOCHS if data else 0):
-            ds, dm = -DECAY * self.state, -DECAY * self.move
-            for rows, gold in data:
-                s, move = self.scores(rows)
-                f, b = [s[0]], [np.zeros(3)]
-                for x in s[1:]:
-                    f.append(top(f[-1][:, None] + move, 0) + x)
-                for x in s[:0:-1]:
-                    b.append(top(move + (x + b[-1])[None], 1))
-                b = b[::-1]
-                z = top(f[-1], 0)
-                for i, r in enumerate(rows):
-                    d = -np.exp(f[i] + b[i] - z)
-                    d[gold[i]] += 1
-                    np.add.at(ds, r, d / len(data))
-                    if i:
-                        p = -np.exp(f[i - 1][:, None] + move + (s[i] + b[i])[None] - z)
-                        p[gold[i - 1], gold[i]] += 1
-                        dm += p / len(data)
+        for _ in range(EPOCHS):
+            s = np.zeros((*on.shape, 3))
+            s[on] = sum(self.state[c] for c in rows.T)
+            s[:, 0, IN] = LOW
+            move = self.move.copy()
+            move[OUT, IN] = LOW
+            f, b = np.zeros_like(s), np.zeros_like(s)
+            f[:, 0] = s[:, 0]
+            for t in range(1, s.shape[1]):
+                f[:, t] = np.where(on[:, t, None], top(f[:, t - 1, :, None] + move, 1) + s[:, t], f[:, t - 1])
+            for t in range(s.shape[1] - 2, -1, -1):
+                b[:, t] = np.where(on[:, t + 1, None], top(move + (s[:, t + 1] + b[:, t + 1])[:, None], 2), 0)
+            z = top(f[:, -1], 1)[:, None, None]
+            d = ((hot - np.exp(np.minimum(f + b - z, 0)))[on]) / k
+            ds = np.stack([sum(np.bincount(c, d[:, x], BUCKETS) for c in rows.T) for x in range(3)], 1) - DECAY * self.state / k
+            p = np.zeros((3, 3))
+            for t in range(1, s.shape[1]):
+                x = f[:, t - 1, :, None] + move + (s[:, t] + b[:, t])[:, None] - z
+                p += (np.exp(np.minimum(x, 0)) * on[:, t, None, None]).sum(0)
+            dm = (pairs - p) / k - DECAY * self.move / k
             gs += ds**2
             gm += dm**2
             self.state += RATE * ds / np.sqrt(gs)
             self.move += RATE * dm / np.sqrt(gm)
 
 
+def views(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, list[tuple[int, int]]]]:
+    """The text with its gold spans, and for its first assignment short texts no base
+    pattern fits: the value as letters or with signs after the cue and "is" or a
+    blank, and words of the text there instead, which are outside."""
+    out = [(text, [(a, b) for _, a, b in spans])]
+    r = random.Random(zlib.crc32(text.encode("utf-8", "surrogatepass")))
+    for kind, a, b in spans:
+        if kind != "assign":
+            continue
+        m = BASE[0][1].match(text, a)
+        near, after = " ".join(text[max(0, a - 40) : a].split()), " ".join(text[b : b + 40].strip("\"'").split())
+        plain = [w for w in after.split() + near.split() if w.isalpha()]
+        for link in (" ", " is ", ": ", " = "):
+            head = f"{near} {m[1]}{link}"
+            letters = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(12, 24)))
+            mixed = "".join(r.choice("abcdefghijkmnABCDEFGHIJK23456789") for _ in range(r.randint(8, 16)))
+            signs = mixed[:3] + r.choice("@$!#%") + mixed[3:8] + r.choice("!?*&^") + mixed[8:]
+            out += [(f"{head}{v} {after}", [(len(head), len(head) + len(v))]) for v in (letters, mixed, signs)]
+            if plain:
+                out.append((f"{head}{r.choice(plain)} {after}", []))
+        break
+    return out
+
+
 def train(texts: list[str]) -> Chain:
-    """Fit to the base spans of a sample: a token is inside one or outside."""
+    """Fit to the base spans of a sample, and to views() of them: a token is inside
+    a span or outside."""
     data = []
     for text in texts:
-        spans, all_ = base_spans(text), chains(text)
-        for chain in all_:
+        for view, spans in views(text, base_spans(text)):
+            _, toks, start, end = tokens(view)
             gold, before = [], None
-            for a, b in chain:
-                hit = next((s for s in spans if s[1] < b and a < s[2]), None)
+            for a, b, t in zip(start.tolist(), end.tolist(), toks):
+                hit = next((s for s in spans if s[0] < b and a < s[1]), None)
+                if hit and CUE.fullmatch(t):
+                    hit = None  # the name of an assignment is no secret
                 gold.append(OUT if hit is None else IN if hit is before else BEGIN)
                 before = hit
-            data.append((features(text, chain, len(all_) > 3), gold))
+            data.append((features(view), gold))
     model = Chain()
     model.learn(data)
     return model
 
 
+def tagged(texts: list[str], model: Chain, emission: Emission) -> list[list[tuple[int, int]]]:
+    """Spans that the field tags in each text."""
+    found = [tokens(t) for t in texts]
+    score = [emission.scores(f[0], f[1]) for f in found]
+    size = np.array([len(x) for x in score], np.int64)
+    first = np.cumsum(size) - size
+    new = np.zeros(int(size.sum()), bool)
+    new[first[size > 0]] = True
+    tags, out = model.decode(np.concatenate([*score, np.zeros((0, 3))]), new), []
+    for (_, _, start, end), at, n in zip(found, first.tolist(), size.tolist()):
+        spans: list = []
+        tag = tags[at : at + n]
+        for i in np.flatnonzero(tag != OUT).tolist():
+            if tag[i] == BEGIN:
+                spans.append((int(start[i]), int(end[i])))
+            else:
+                spans[-1] = (spans[-1][0], int(end[i]))
+        out.append(spans)
+    return out
+
+
+def all_of(texts: list[str], model: Chain, emission: Emission) -> list[tuple[list, list]]:
+    """all_spans() of each text. A text of more than CHARS characters is decoded in
+    overlapping pieces, each of which gives the spans that start in its own part."""
+    short = [t if len(t) <= CHARS else "" for t in texts]
+    out, rank = [], {k: i for i, (k, *_) in enumerate(BASE)} | {"crf": len(BASE)}
+    for text, spans in zip(texts, tagged(short, model, emission)):
+        for a in range(0, len(text) if len(text) > CHARS else 0, CHARS):
+            low = max(0, a - SHARED)
+            [part] = tagged([text[low : a + CHARS + SHARED]], model, emission)
+            spans += [(x + low, y + low) for x, y in part if a <= x + low < a + CHARS]
+        base = base_spans(text)
+        added = [("crf", x, y) for x, y in spans if all(y <= s[1] or s[2] <= x for s in base)]
+        out.append((base, sorted(base + added, key=lambda s: (s[1], rank[s[0]], s[2]))))
+    return out
+
+
 def all_spans(text: str, model: Chain) -> tuple[list, list]:
     """(base spans, base and added spans by start): the method adds what it tags
     outside the base spans."""
-    base = base_spans(text)
-    added = []
-    found = chains(text)
-    for chain in found:
-        if not any(all(b <= s[1] or s[2] <= a for s in base) for a, b in chain):
-            continue  # nothing of it could be added
-        for (a, b), tag in zip(chain, model.viterbi(features(text, chain, len(found) > 3))):
-            if tag == BEGIN:
-                added.append(["crf", a, b])
-            elif tag == IN and added:
-                added[-1][2] = b
-    added = [tuple(x) for x in added if all(x[2] <= s[1] or s[2] <= x[1] for s in base)]
-    rank = {k: i for i, (k, *_) in enumerate(BASE)} | {"crf": len(BASE)}
-    return base, sorted(base + added, key=lambda s: (s[1], rank[s[0]], s[2]))
+    return all_of([text], model, Emission(model.state))[0]
 
 
 def fit(docs: DataFrame) -> Chain:
@@ -183,10 +338,10 @@ def scan_secrets(docs: DataFrame, model: Chain | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         join = lambda s: ",".join(f"{k}:{a}:{b}" for k, a, b in s)
-        for b in batches:
+        emission = Emission(held.value.state)
+        for b in rows_of(batches, "text", CHARS):
             out = []
-            for text in b.column("text"):
-                base, every = all_spans(text.as_py() or "", held.value)
+            for base, every in all_of([t.as_py() or "" for t in b.column("text")], held.value, emission):
                 count = [sum(s[0] == k for s in base) for k, *_ in BASE]
                 out.append((*count, hashlib.sha256(join(base).encode()).hexdigest(), join(every)))
             cols = [pa.array([r[i] for r in out], pa.int64() if i < 3 else pa.string()) for i in range(5)]
