@@ -3,24 +3,24 @@
 import duckdb
 import pytest
 
-from tidelog.functions.codec import crc32c
+from tidelog.functions.crc import crc32c
 from tidelog.operators import catalog
 from tidelog.operators import versions as V
-from tidelog.plans import catalogue
+from tidelog.plans import every
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 
 
 def rows(x, cols):
     return sorted(repr([None if v is None else v for v in (r[c] for c in cols)]) for r in x)
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
+@pytest.mark.parametrize("name", sorted(every.QUERIES))
 def test_equals_sql(spark, name):
-    df = catalogue.QUERIES[name](spark, SF)
+    df = every.QUERIES[name](spark, SF)
     con = duckdb.connect()
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{SF}/events.parquet'")
-    cur = con.execute(catalogue.SQL[name])
+    cur = con.execute(every.SQL[name])
     names = [d[0] for d in cur.description]
     assert sorted(names) == sorted(df.columns)
     want = [dict(zip(names, r)) for r in cur.fetchall()]

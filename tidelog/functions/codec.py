@@ -1,4 +1,4 @@
-"""Scalar codecs as Spark expressions, and CRC-32C."""
+"""Scalar codecs as Spark expressions."""
 
 from __future__ import annotations
 
@@ -28,23 +28,3 @@ def frame_length(n: Column) -> Column:
     """The length field: n in 56 bits; with padding the top byte is 0x80 | pad."""
     pad = frame_pad(n)
     return F.when(pad == 0, n).otherwise(F.shiftleft((pad + 128).cast("long"), 56).bitwiseOR(n))
-
-
-def _table() -> list[int]:
-    out = []
-    for i in range(256):
-        for _ in range(8):
-            i = i >> 1 ^ (0x82F63B78 if i & 1 else 0)
-        out.append(i)
-    return out
-
-
-TABLE = _table()
-
-
-def crc32c(data: bytes, seed: int = 0) -> int:
-    """Castagnoli CRC; seed continues an earlier one."""
-    c = seed ^ 0xFFFFFFFF
-    for b in data:
-        c = TABLE[(c ^ b) & 255] ^ c >> 8
-    return c ^ 0xFFFFFFFF

@@ -30,24 +30,6 @@ class InvalidSchema(CatalogError): ...
 class Closed(CatalogError): ...
 
 
-#: (type, primary key, secondary indexes): examples of valid and invalid schemas.
-EXAMPLES = [
-    ("events", "id", []),
-    ("events", "id", ["user_id", "region"]),
-    ("pods", "metadata.name", ["metadata.labels.*"]),
-    ("", "id", []),
-    ("events", "", []),
-    ("events", "metadata.labels.*", []),
-    ("events", "id", [""]),
-    ("events", "id", ["id"]),
-    ("events", "id", ["metadata.*.name"]),
-    ("events", "id", ["user_id", "user_id"]),
-    ("events", "id", ["metadata.region"]),
-    ("events", "id", ["a.*.b.*"]),
-    ("events", "a.*.b", []),
-]
-
-
 def problem() -> Column:
     """What is wrong with a row (type, primary_key, secondary_indexes); null: valid."""
     x = F.col("secondary_indexes")
@@ -71,12 +53,68 @@ def check(name: str, primary_key: str, indexes: list[str]) -> None:
 
 
 def replay_indexes(events: DataFrame) -> DataFrame:
-    """(type, index_path) in force after events (seq, op, type, index_path): the
-    newest operation on a path decides; those on unknown types are skipped."""
-    known = events.where(F.col("op") == REGISTER).select("type").distinct()
-    w = Window.partitionBy("type", "index_path").orderBy(F.desc("seq"))
-    ops = events.where(F.col("op").isin(ADD_INDEX, REMOVE_INDEX)).withColumn("rn", F.row_number().over(w))
-    return ops.where((F.col("rn") == 1) & (F.col("op") == ADD_INDEX)).join(known, "type", "left_semi").select("type", "index_path")
+    """(type, index_path) in force after events (seq, op, type, index_path,
+    secondary_indexes): a type begins with the paths of its REGISTER event, and the
+    newest later operation on a path decides; those on a type that is not yet, or
+    never, registered are skipped. An unknown operation stops the job."""
+    known = F.col("op").isin(REGISTER, ADD_INDEX, REMOVE_INDEX)
+    op = F.when(known, F.col("op")).otherwise(F.raise_error(F.concat(F.lit("unknown operation "), F.coalesce(F.col("op").cast("string"), F.lit("null")))))
+    e = events.select("seq", op.alias("op"), "type", "index_path", "secondary_indexes")
+    # The registration of a type is its newest one; later ones replace the paths.
+    at = F.max(F.when(F.col("op") == REGISTER, F.col("seq"))).over(Window.partitionBy("type"))
+    e = e.withColumn("at", at).where("at is not null and seq >= at and (op <> 1 or seq = at)")
+    path = F.when(F.col("op") == REGISTER, F.coalesce("secondary_indexes", F.array().cast("array<string>"))).otherwise(F.array("index_path"))
+    e = e.select("type", "seq", "op", F.explode(path).alias("index_path"))
+    last = e.groupBy("type", "index_path").agg(F.max(F.struct("seq", "op")).alias("x"))
+    return last.where(F.col("x.op") != REMOVE_INDEX).select("type", "index_path")
+
+
+def replay_types(events: DataFrame) -> DataFrame:
+    """(type, primary_key, secondary_indexes, sorted) of each registered type."""
+    paths = replay_indexes(events).groupBy("type").agg(F.sort_array(F.collect_list("index_path")).alias("secondary_indexes"))
+    keys = events.where(F.col("op") == REGISTER).groupBy("type").agg(F.max_by("primary_key", "seq").alias("primary_key"))
+    none = F.array().cast("array<string>")
+    return keys.join(paths, "type", "left").select("type", "primary_key", F.coalesce("secondary_indexes", none).alias("secondary_indexes"))
+
+
+def has_index(path: Column) -> Column:
+    """Whether secondary_indexes has a path."""
+    return F.coalesce(F.array_contains("secondary_indexes", path), F.lit(False))
+
+
+#: A schema event as a struct, which to_bytes() and from_bytes() carry as JSON.
+EVENT = "op int, type string, primary_key string, secondary_indexes array<string>, index_path string"
+
+
+def to_bytes(event: Column) -> Column:
+    """A schema event (a struct like EVENT) as bytes of a log record; fields that are
+    null are left out."""
+    return F.to_json(event).cast("binary")
+
+
+def from_bytes(data: Column) -> Column:
+    """The struct that to_bytes() was given; null for bytes that hold none."""
+    return F.from_json(data.cast("string"), EVENT)
+
+
+def evolution_problem(new_key: Column, new_indexes: Column) -> Column:
+    """Why a row (primary_key, secondary_indexes) may not become (new_key,
+    new_indexes); null: it may. Paths can come and go (they hold for rows written
+    from then on), the primary key stays, and the outcome must be valid."""
+    return (
+        F.when(F.coalesce(new_key, F.lit("")) != F.coalesce("primary_key", F.lit("")), "primary key can't change")
+        .when(F.exists(new_indexes, lambda p: p == new_key), "index equals the primary key")
+        .when(F.size(F.array_distinct(new_indexes)) < F.size(new_indexes), "index is repeated")
+    )
+
+
+def schema_versions(events: DataFrame) -> DataFrame:
+    """Every state a type has had, numbered from 1: (type, version, seq, op,
+    index_path), by the operations that took part in replay order."""
+    at = F.max(F.when(F.col("op") == REGISTER, F.col("seq"))).over(Window.partitionBy("type").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = events.withColumn("at", at).where("at is not null")
+    version = F.row_number().over(Window.partitionBy("type").orderBy("seq")).cast("long")
+    return rows.select("type", version.alias("version"), "seq", "op", "index_path")
 
 
 class Registry:
@@ -87,9 +125,9 @@ class Registry:
         self.types: dict[str, tuple[str, list[str]]] = {}
         self.closed = False
         for e in events or []:
-            self._apply(e)
+            self.apply(e)
 
-    def _apply(self, event: tuple) -> None:
+    def apply(self, event: tuple) -> None:
         op, name, *more = event
         if op == REGISTER:
             self.types[name] = (more[0], list(more[1]))
@@ -113,7 +151,7 @@ class Registry:
         self._open()
         if name in self.types:
             raise TypeExists(name)
-        self._apply((REGISTER, name, primary_key, list(indexes)))
+        self.apply((REGISTER, name, primary_key, list(indexes)))
 
     def add_index(self, name: str, path: str) -> None:
         if not path:
@@ -122,12 +160,12 @@ class Registry:
         if path in indexes:
             raise IndexExists(path)
         check(name, primary_key, [*indexes, path])
-        self._apply((ADD_INDEX, name, path))
+        self.apply((ADD_INDEX, name, path))
 
     def remove_index(self, name: str, path: str) -> None:
         if path not in self.get(name)[1]:
             raise IndexNotFound(path)
-        self._apply((REMOVE_INDEX, name, path))
+        self.apply((REMOVE_INDEX, name, path))
 
     def get(self, name: str) -> tuple[str, list[str]]:
         """A copy of (primary key, indexes)."""

@@ -70,8 +70,14 @@ def _history() -> Window:
 
 
 def change_feed(log: DataFrame, after: int) -> DataFrame:
-    """Changes above a seq with the value they replace."""
-    return log.withColumn("prev_v", F.lag("v").over(_history())).where(F.col("seq") > after)
+    """Changes above a seq with the value they replace.
+
+    Of the versions at or below the bound only the newest of each key matters, so
+    the window sorts the changes and one row a key besides, not the whole log.
+    """
+    base = newest(log.where(F.col("seq") <= after)).withColumn("old", F.lit(True))
+    rows = log.where(F.col("seq") > after).withColumn("old", F.lit(False)).unionByName(base)
+    return rows.withColumn("prev_v", F.lag("v").over(_history())).where("not old").drop("old")
 
 
 def validity(log: DataFrame) -> DataFrame:
@@ -80,9 +86,14 @@ def validity(log: DataFrame) -> DataFrame:
 
 
 def retained(log: DataFrame, horizon: int) -> DataFrame:
-    """Versions that a reader at horizon or later can still see."""
-    rows = validity(log)
-    return rows.where(F.col("next_seq").isNull() | (F.col("next_seq") > horizon)).drop("next_seq")
+    """Versions that a reader at horizon or later can still see: those above it, and
+    the newest of each key at or below it. Nothing above the horizon is shuffled."""
+    return log.where(F.col("seq") > horizon).unionByName(newest(log.where(F.col("seq") <= horizon)))
+
+
+def all_versions(log: DataFrame) -> DataFrame:
+    """Every version, tombstones too, by key and then newest first."""
+    return log.orderBy("k", F.desc("seq"), F.desc("kind"))
 
 
 def expected_seq(log: DataFrame) -> DataFrame:
@@ -91,19 +102,43 @@ def expected_seq(log: DataFrame) -> DataFrame:
 
 
 def incarnations(log: DataFrame) -> DataFrame:
-    """Sets with the seq at which the present life of their key began."""
+    """Sets with the seq at which the present life of their key began: the first set
+    after the newest delete before them, found in one pass of the sorted history."""
     w = _history().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = log.withColumn("life", F.sum((F.col("kind") == DELETE).cast("long")).over(w))
-    rows = rows.where(F.col("kind") == SET)
-    return rows.withColumn("create_seq", F.min("seq").over(Window.partitionBy("k", "life"))).drop("life")
+    before = F.coalesce(F.lag("kind").over(_history()), F.lit(DELETE))
+    rows = log.withColumn("first", F.when((F.col("kind") == SET) & (before == DELETE), F.col("seq")))
+    return rows.withColumn("create_seq", F.last("first", ignorenulls=True).over(w)).where(F.col("kind") == SET).drop("first")
 
 
 def merge_runs(*runs: DataFrame) -> DataFrame:
-    """Union of sorted runs in which an internal key counts once."""
-    out = runs[0]
-    for r in runs[1:]:
-        out = out.unionByName(r)
-    return out.dropDuplicates(["k", "seq", "kind"])
+    """Union of sorted runs in which an internal key (k, seq, kind) counts once; of
+    equal ones the row of the earliest run given wins, the least by value in a run."""
+    value = [c for c in runs[0].columns if c not in ("k", "seq", "kind")]
+    out = None
+    for i, r in enumerate(runs):
+        r = r.select("k", "seq", "kind", F.struct(F.lit(i).alias("run"), *value).alias("x"))
+        out = r if out is None else out.unionByName(r)
+    best = out.groupBy("k", "seq", "kind").agg(F.min("x").alias("x"))
+    return best.select("k", "seq", "kind", *[F.col(f"x.{c}").alias(c) for c in value])
+
+
+def as_of_join(asks: DataFrame, log: DataFrame) -> DataFrame:
+    """asks (k, at, ...) each with the version visible at its own seq `at`: found_seq
+    and found_v, null where the key is absent or deleted then.
+
+    Both sides are one sorted stream a key: the newest version so far is carried to
+    the asks behind it, so nothing is paired by ranges. A version at seq `at` counts.
+    """
+    extra = [c for c in asks.columns if c not in ("k", "at")]
+    kinds = asks.schema
+    a = asks.select("k", F.col("at").alias("seq"), F.lit(2).alias("order"), F.struct(*[F.col(c) for c in extra], F.lit(1).alias("is_ask")).alias("ask"), F.lit(None).cast(f"struct<seq:bigint,kind:int,v:{log.schema['v'].dataType.simpleString()}>").alias("x"))
+    none = F.lit(None).cast(a.schema["ask"].dataType)
+    rows = log.select("k", "seq", F.col("kind").alias("order"), none.alias("ask"), F.struct(F.col("seq").cast("long").alias("seq"), F.col("kind").cast("int").alias("kind"), "v").alias("x"))
+    # At one seq a delete (0) comes before a set (1), which wins, and asks come last.
+    w = Window.partitionBy("k").orderBy("seq", "order").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = rows.unionByName(a).withColumn("now", F.last("x", ignorenulls=True).over(w)).where("ask is not null")
+    alive = F.col("now.kind") == SET
+    return both.select("k", F.col("seq").cast(kinds["at"].dataType).alias("at"), *[F.col(f"ask.{c}").alias(c) for c in extra], F.when(alive, F.col("now.seq")).alias("found_seq"), F.when(alive, F.col("now.v")).alias("found_v"))
 
 
 def admit(log: DataFrame, writes: DataFrame) -> DataFrame:

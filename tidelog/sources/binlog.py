@@ -9,11 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidelog.functions.codec import crc32c
+from tidelog.functions import crc
 
 CRC, SNAPSHOT, DATA = 1, 2, 3
 #: Largest record; sectors that a torn write leaves as zeros.
@@ -53,11 +55,16 @@ def record(kind: int, crc: int, data: bytes) -> bytes:
 
 def segment(payloads: Iterable[bytes], seed: int = 0) -> tuple[bytes, int]:
     """(bytes of a segment, seed of the next one)"""
-    out = [record(CRC, seed, b"")]
-    for data in payloads:
-        seed = crc32c(data, seed)
-        out.append(record(DATA, seed, data))
-    return b"".join(out), seed
+    payloads = list(payloads)
+    crcs = _running(payloads, seed)
+    frames = [record(CRC, seed, b"")] + [record(DATA, c, d) for c, d in zip(crcs, payloads)]
+    return b"".join(frames), crcs[-1] if crcs else seed
+
+
+def _running(payloads: list[bytes], seed: int) -> list[int]:
+    """The running CRC after each payload."""
+    own = crc.crc32c_all(pa.array(payloads, pa.large_binary()))
+    return crc.chained(own, np.array([len(p) for p in payloads]), seed).tolist() if payloads else []
 
 
 def _message(body: bytes) -> tuple[int, int, bytes]:
@@ -82,42 +89,79 @@ def _torn(raw: bytes, offset: int, size: int) -> bool:
     return any(not any(raw[a:b]) for a, b in zip(cuts, cuts[1:]))
 
 
-def parse(raw: bytes, number: int, last: bool) -> Iterator[tuple[int, int, int, int, bytes]]:
-    """The records of one segment. Only the last segment may end in a torn one."""
-    at = crc = 0
+def _frames(raw: bytes) -> Iterator[tuple[int, int, int, tuple[int, int, bytes] | None]]:
+    """(offset, body size, padding, message or None if it can't be read) of the frames
+    up to the first that is no frame; the last one may reach beyond the end."""
+    at = 0
     while at + 8 <= len(raw):
         field = int.from_bytes(raw[at : at + 8], "little")
         if not field:
             return
         n, pad = field & (1 << 56) - 1, (field >> 56 & 7 if field >> 63 else 0)
-        if n > MOST:
-            raise CorruptLog(f"segment {number}, offset {at}: {n} bytes")
-        bad = at + 8 + n + pad > len(raw)
-        torn = bad
-        if not bad:
+        message = None
+        if n <= MOST and at + 8 + n + pad <= len(raw):
             try:
-                kind, want, data = _message(raw[at + 8 : at + 8 + n])
-                crc = want if kind == CRC else crc32c(data, crc)
-                bad = crc != want
+                message = _message(raw[at + 8 : at + 8 + n])
             except (IndexError, ValueError):
-                bad = True
-            torn = bad and _torn(raw, at + 8, n + pad)
-        if bad:
-            if torn and last:
-                return
-            raise CorruptLog(f"segment {number}, offset {at}: {'torn' if torn else 'corrupt'} record")
-        yield number, at, kind, want, data
+                pass
+        yield at, n, pad, message
+        if message is None:
+            return
         at += 8 + n + pad
-    if at < len(raw) and any(raw[at:]) and not last:
-        raise CorruptLog(f"segment {number}, offset {at}: torn record")
 
 
-def scan(spark: SparkSession, path: str) -> DataFrame:
-    """Every record of the log, one task or more for all segments by Spark's own
-    reader, so the log can lie in any store. Files with other names are skipped."""
+def parse(raw: bytes, number: int, last: bool) -> list[tuple[int, int, int, int, bytes]]:
+    """The records (segment, offset, type, crc, data) of one segment. Only the last
+    segment may end in a torn record."""
+    found = list(_frames(raw))
+    whole = [f for f in found if f[3] is not None]
+    kinds = np.array([f[3][0] for f in whole], np.int64)
+    want = np.array([f[3][1] for f in whole], np.uint32)
+    own = crc.crc32c_all(pa.array([f[3][2] for f in whole], pa.large_binary()))
+    size = np.array([len(f[3][2]) for f in whole], np.int64)
+    # CRC records begin a chain anew with their own value; the others go on from it.
+    bad, heads = len(whole), [0, *np.flatnonzero(kinds == CRC).tolist(), len(whole)]
+    for a, b in zip(heads, heads[1:]):
+        if a == b:
+            continue
+        seeded = kinds[a] == CRC
+        first = a + 1 if seeded else a
+        run = crc.chained(own[first:b], size[first:b], int(want[a]) if seeded else 0)
+        off = np.flatnonzero(run != want[first:b])
+        if len(off):
+            bad = first + int(off[0])
+            break
+    end = found[-1] if found and found[-1][3] is None else None
+    wrong = found[bad] if bad < len(whole) else end
+    if wrong is not None:
+        at, n, pad, message = wrong
+        if message is None and n > MOST:
+            raise CorruptLog(f"segment {number}, offset {at}: {n} bytes")
+        torn = at + 8 + n + pad > len(raw) or _torn(raw, at + 8, n + pad)
+        if not (torn and last):
+            raise CorruptLog(f"segment {number}, offset {at}: {'torn' if torn else 'corrupt'} record")
+    elif not last:
+        at = found[-1][0] + 8 + found[-1][1] + found[-1][2] if found else 0
+        if any(raw[at:]):
+            raise CorruptLog(f"segment {number}, offset {at}: torn record")
+    return [(number, f[0], *f[3]) for f in whole[:bad]]
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("pathGlobFilter", "wal-*.log").load(path)
     number = F.regexp_extract("path", r"/wal-(\d+)\.log$", 1)
-    files = files.where(number != "").withColumn("segment", number.cast("long"))
+    return files.where(number != "").withColumn("segment", number.cast("long"))
+
+
+def segments(spark: SparkSession, path: str) -> DataFrame:
+    """(segment, bytes) of the log's files by number; files with other names are skipped."""
+    return _files(spark, path).select("segment", F.col("length").alias("bytes")).orderBy("segment")
+
+
+def scan(spark: SparkSession, path: str) -> DataFrame:
+    """Every record of the log, in tasks of one segment or more, by Spark's own
+    reader, so the log can lie in any store. Files with other names are skipped."""
+    files = _files(spark, path)
     # The newest number comes from the listing; no content is read for it.
     newest = files.agg(F.max("segment")).first()[0]
 
@@ -125,11 +169,22 @@ def scan(spark: SparkSession, path: str) -> DataFrame:
         names = ["segment", "offset", "type", "crc", "data"]
         for frame in frames:
             for n, raw in zip(frame["segment"], frame["content"]):
-                yield pd.DataFrame(list(parse(raw, int(n), n == newest)), columns=names)
+                got = parse(raw, int(n), n == newest)
+                for i in range(0, len(got), 10_000):
+                    yield pd.DataFrame(got[i : i + 10_000], columns=names)
 
     return files.select("segment", "content").mapInPandas(run, RECORDS)
 
 
+def read_all(spark: SparkSession, path: str) -> DataFrame:
+    """payloads() of a log whose segments follow each other: a seed that is not the
+    final CRC of the segment before stops the read."""
+    records = scan(spark, path)
+    if broken := broken_chain(records).select("segment").take(1):
+        raise CorruptLog(f"segment {broken[0][0]} does not follow the one before")
+    return payloads(records)
+
+
 def payloads(records: DataFrame) -> DataFrame:
     """Data records in log order."""
     return records.where(F.col("type") == DATA).select("segment", "offset", "data").orderBy("segment", "offset")
@@ -141,3 +196,9 @@ def broken_chain(records: DataFrame) -> DataFrame:
     ends = records.groupBy("segment").agg(F.min_by("crc", "offset").alias("seed"), F.max_by("crc", "offset").alias("final"))
     w = Window.orderBy("segment")
     return ends.withColumn("before", F.lag("final").over(w)).where("before is not null and before <> seed")
+
+
+def running_crc(records: DataFrame) -> DataFrame:
+    """(segment, offset, type, crc): the decoder's offset and running CRC after each
+    record, as columns."""
+    return records.select("segment", "offset", "type", "crc")

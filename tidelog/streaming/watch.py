@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tidelog.operators import index
 from tidelog.operators import versions as V
 from tidelog.sources.store import LOG
 
@@ -46,14 +47,36 @@ def watch(log: DataFrame, changes: DataFrame, checkpoint: str, emit: Callable[[D
 
 
 def keep_latest(changes: DataFrame, folder: str, checkpoint: str, available: bool = False) -> StreamingQuery:
-    """Keep the newest version of every key, tombstones too, in folder/<batch>. A
-    batch reads the state before it and writes its own, so a repeated one gives the
-    same state. Rows may come in any order of seq."""
+    """Keep the newest version of every key, tombstones too, in the state store. A batch
+    writes the keys it changed to folder/<batch>, so a repeated one writes the same and
+    no batch rewrites the others. Rows may come in any order of seq."""
 
     def batch(rows: DataFrame, number: int) -> None:
+        rows.select("k", "x.seq", "x.kind", "x.v").write.mode("overwrite").parquet(f"{folder}/{number}")
+
+    state = changes.groupBy("k").agg(F.max(F.struct("seq", "kind", "v")).alias("x"))
+    writer = state.writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available else writer).start()
+
+
+def latest(spark: SparkSession, folder: str) -> DataFrame:
+    """What keep_latest() has kept so far, tombstones included."""
+    return V.newest(spark.read.schema(LOG).option("recursiveFileLookup", "true").parquet(folder))
+
+
+def apply_committed(changes: DataFrame, mark: Callable[[], int], folder: str, checkpoint: str, path: str = "*", available: bool = False) -> StreamingQuery:
+    """The commit loop: each batch is applied up to the mark, the rest waits in
+    folder/waiting. One batch writes the rows and their index entries together, as
+    folder/rows/<batch> and folder/index/<batch>, so a repeated one changes nothing."""
+
+    def batch(rows: DataFrame, number: int) -> None:
+        spark, now = rows.sparkSession, mark()
         if number:
-            rows = rows.unionByName(rows.sparkSession.read.schema(LOG).parquet(f"{folder}/{number - 1}"))
-        V.newest(rows).write.mode("overwrite").parquet(f"{folder}/{number}")
+            rows = rows.unionByName(spark.read.schema(LOG).parquet(f"{folder}/waiting/{number - 1}"))
+        ready = rows.where(F.col("seq") <= now)
+        ready.sortWithinPartitions("seq").write.mode("overwrite").parquet(f"{folder}/rows/{number}")
+        index.entries(ready.where(F.col("kind") == V.SET), path).write.mode("overwrite").parquet(f"{folder}/index/{number}")
+        rows.where(F.col("seq") > now).write.mode("overwrite").parquet(f"{folder}/waiting/{number}")
 
     writer = changes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available else writer).start()
