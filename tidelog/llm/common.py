@@ -20,25 +20,52 @@ HOT_GROUPS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a
-    temporary one only where the session names none, as in local tests."""
+    """This application's folder in the one that driver and executors share
+    (spark.checkpoint.dir); it goes when the application ends. Only a local master
+    may leave that setting out; it gets a temporary folder."""
+    context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            return held.get()
-        folder = tempfile.mkdtemp(prefix="shared-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
+        held = context._jsc.sc().getCheckpointDir()
+        if not held.isDefined():
+            if not context.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="shared-"))
+            held = context._jsc.sc().getCheckpointDir()
+        folder = held.get()
+    own = f"{folder.rstrip('/')}/{context.applicationId}"
+    if own not in _owned:
+        _owned.add(own)
+        fs, path = _store(spark, own)
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+    return own
+
+
+_owned: set[str] = set()
+
+
+def _store(spark: SparkSession, folder: str) -> tuple:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
 
 
 def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Cut the lineage of df with a Parquet table in the shared folder, so that
     a lost executor costs no recomputation and later readers see one version."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/t-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/t-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Remove tables of written() that no frame will read any more."""
+    for t in tables:
+        fs, path = _store(t.sparkSession, t.written_at)
+        fs.delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -5,30 +5,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hot_left_join, written
+from .common import dropped, written
+
+
+def _stars(e: DataFrame) -> bool:
+    """Whether every u of the edges (u > v) has one v, which is no u itself."""
+    ends = e.select(F.explode(F.array(F.struct(F.col("u").alias("id"), F.lit(1).alias("up")), F.struct(F.col("v").alias("id"), F.lit(0).alias("up")))).alias("x")).select("x.*")
+    seen = ends.groupBy("id").agg(F.sum("up").alias("ups"), F.min("up").alias("low"))
+    return seen.where("ups > 1 or ups = 1 and low = 0").limit(1).count() == 0
 
 
 def _step(edges: DataFrame, large: bool) -> DataFrame:
-    """One star step over edges (u > v): neighbours move to their least common one."""
+    """One star step over edges (u > v), which are dropped: neighbours move to their
+    least common one.
+
+    The least neighbours are written first, so the join that follows shuffles both
+    sides itself and Spark can split the rows of a hub among tasks.
+    """
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("size"))
-    out = hot_left_join(both, least, ["u"], "size", "v", "inner")
-    moved = out.where("v > u") if large else out
-    pairs = moved.select(F.col("v").alias("u"), F.col("m").alias("v"))
-    if not large:
-        pairs = pairs.unionByName(least.select("u", F.col("m").alias("v")))
-    return pairs.where("u > v").distinct()
+    least = written(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("at"), F.least("m", "u").alias("m")))
+    out = both.join(least, F.col("u") == F.col("at"))
+    if large:
+        pairs = out.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
+    else:
+        ends = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))
+        pairs = out.select(F.explode(ends).alias("x")).select("x.*").where("u > v").distinct()
+    pairs = written(pairs)
+    dropped(edges, least)
+    return pairs
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, component_id) of every id in edges (a, b), component_id the smallest id
-    that is reachable. Loops and repeated edges do no harm. Only counts and a
-    checksum come to the driver; each round is a table in the shared folder."""
-    e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct()
-    e, last = written(e), None
-    while True:
-        n, mark = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if (n, mark) == last or n == 0:
-            return e.select(F.col("u").alias("id"), F.col("v").alias("component_id")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component_id")).distinct())
-        last = (n, mark)
-        e = written(_step(_step(e, True), False))
+    """(id, component_id) of every id in edges (a, b) with a <> b, component_id the
+    smallest id that is reachable. Loops and repeated edges do no harm. Nothing but
+    one flag a round comes to the driver; each step is a table in the shared folder,
+    and edges that are stars already, each around its least id, need no step."""
+    e = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct())
+    while not _stars(e):
+        e = _step(_step(e, True), False)
+    ids = F.explode(F.array("u", "v")).alias("id")
+    return e.select(ids, F.col("v").alias("component_id")).distinct()
