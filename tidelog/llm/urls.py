@@ -15,8 +15,9 @@ RULES = [
     ("com", "/fr/", "allow"),
     ("com", "/de/", "block"),
 ]
-#: Rows up to which the rule table is broadcast; a larger one is shuffled.
-BROADCAST_RULES = 200_000
+#: Bytes of rules, each with its digest, up to which the rule table is broadcast; a
+#: larger one is shuffled.
+BROADCAST_BYTES = 32 << 20
 
 
 def host_of(url: Column) -> Column:
@@ -35,37 +36,37 @@ def filter_urls(urls: DataFrame, rules: DataFrame, default: str = "allow") -> Da
     """Judge every row of urls (page_id, url; other columns stay out of it).
 
     Each url becomes the expressions host-suffix + NUL + path-prefix, of the path
-    lengths that rules have. They meet the rules in an equi-join on the first 32
-    bits of their SHA-256; the full digest then confirms, and of the rules that
-    fit the one of the longest path after the longest host wins (block before
-    allow on a tie). No rule: default. Null or a url without ``://`` has an empty
-    host and path, which no rule fits. Repeated urls are each judged; duplicate
-    page_ids are kept apart because rules meet urls before any grouping by url.
+    lengths, however many, that rules of that host have. They meet the rules in an
+    equi-join on the first 32 bits of their SHA-256; the full digest then confirms,
+    and of the rules that fit the longest wins, by host and path together (then the
+    longer host, then block before allow). No rule: default. Null or a url without
+    ``://`` has an empty host and path, which no rule fits. Rules with a null host or
+    path fit nothing, repeated ones count once. Rows are judged one by one, so rows
+    that repeat a url or a page_id are all returned, and no url is a hot key.
     """
-    spark = urls.sparkSession
     expr = lambda h, p: F.sha2(F.concat(h, F.lit("\0"), p), 256)
-    r = rules.select("rule_host", "rule_path", "rule_verdict", expr(F.col("rule_host"), F.col("rule_path")).alias("rule_digest"))
+    r = rules.select("rule_host", "rule_path", "rule_verdict").where("rule_host is not null and rule_path is not null").distinct()
+    size = r.agg(F.coalesce(F.sum(F.octet_length("rule_host") + F.octet_length("rule_path") + 100), F.lit(0))).first()[0]
+    ready = F.broadcast if size <= BROADCAST_BYTES else (lambda x: x)
+    lengths = r.select(F.col("rule_host").alias("of_host"), F.length("rule_path").alias("n")).distinct()
+    lengths = lengths.groupBy("of_host").agg(F.collect_set("n").alias("lengths"))
+    r = r.withColumn("rule_digest", expr(F.col("rule_host"), F.col("rule_path")))
     r = r.withColumn("rule_short", F.substring("rule_digest", 1, 8))
-    # Distinct path lengths of the rules: a few integers, however many rules.
-    lengths = sorted(x[0] for x in rules.select(F.length("rule_path")).distinct().limit(1000).collect() if x[0] is not None)
-    if rules.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES:
-        r = F.broadcast(r)
-    u = urls.select("url").distinct().select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    u = u.where(F.col("host") != "")
+    u = urls.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).withColumn("row", F.monotonically_increasing_id())
     parts = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
-    fit = F.filter(F.lit(lengths).cast("array<int>"), lambda n: n <= F.length("path")) if lengths else F.array().cast("array<int>")
-    e = u.select("url", "path", F.explode(F.array_distinct(suffixes)).alias("suffix")).select("url", "suffix", "path", F.explode(fit).alias("n"))
-    e = e.select("url", expr(F.col("suffix"), F.col("path").substr(F.lit(1), F.col("n"))).alias("digest"))
+    suffixes = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), ".")))
+    page = ["row", "page_id", "host", "path"]
+    e = u.select(*page, F.explode(suffixes).alias("suffix"))
+    e = e.join(ready(lengths), F.col("suffix") == F.col("of_host"), "left")
+    e = e.select(*page, "suffix", F.explode_outer(F.filter("lengths", lambda n: n <= F.length("path"))).alias("n"))
+    e = e.select(*page, expr(F.col("suffix"), F.col("path").substr(F.lit(1), F.col("n"))).alias("digest"))
     e = e.withColumn("short", F.substring("digest", 1, 8))
-    hit = e.join(r, F.col("short") == F.col("rule_short")).where(F.col("digest") == F.col("rule_digest"))
+    hit = e.join(ready(r), F.col("short") == F.col("rule_short"), "left")
     name = F.concat("rule_host", "rule_path")
     rank = F.struct(F.length(name).alias("n"), F.length("rule_host").alias("h"), (F.col("rule_verdict") == "block").alias("b"), name.alias("rule"), F.col("rule_verdict").alias("verdict"))
-    best = hit.groupBy("url").agg(F.max(rank).alias("best"))
-    best = best.select(F.col("url").alias("best_url"), "best.rule", "best.verdict")
-    all_ = urls.select("page_id", "url").withColumn("key", F.coalesce("url", F.concat(F.lit("\0"), F.xxhash64("page_id").cast("string"))))
-    out = all_.join(best, all_["key"] == best["best_url"], "left")
-    return out.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
+    # A task has all expressions of its rows, so one row a page is left to shuffle.
+    best = hit.groupBy(*page).agg(F.max(F.when(F.col("digest") == F.col("rule_digest"), rank)).alias("best"))
+    return best.select("page_id", "host", "path", "best.rule", F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
