@@ -16,9 +16,10 @@ from .words import LOWERED, SEPARATOR
 #: Hash buckets of the subword table, embedding size and byte lengths of n-grams.
 BUCKETS, DIM, GRAMS = 1 << 17, 8, (4, 5, 6)
 #: Bound of the training sample: labelled rows of either class, in the order of a
-#: hash of doc_id, and the bytes of one text of it (longer ones are not drawn).
-SAMPLE_ROWS, SAMPLE_BYTES = (3600, 1200), 20_000
-EPOCHS, BATCH, RATE, SEED = 8, 64, 0.05, 7
+#: hash of doc_id, the bytes of one text of it (longer ones are not drawn) and those
+#: of all its texts of a class.
+SAMPLE_ROWS, SAMPLE_BYTES, SAMPLE_TOTAL = (3600, 1200), 20_000, 16 << 20
+EPOCHS, BATCH, RATE, SEED = 12, 64, 1.0, 7
 THRESHOLD = 0.3
 HELD_OUT = 2
 
@@ -62,30 +63,28 @@ def train(texts: list[bytes], toxic: np.ndarray) -> tuple[np.ndarray, float]:
     rng = np.random.default_rng(SEED)
     e, w, b = rng.normal(0, 0.1, (BUCKETS, DIM)), rng.normal(0, 1.0, (DIM, 2)), np.zeros(2)
     ge, gw, gb = np.full(BUCKETS, 1e-8), np.full((DIM, 2), 1e-8), np.full(2, 1e-8)
-    bags = []
-    for t in texts:
-        bags.append(np.unique(subwords([t])[0], return_counts=True))
-    target = np.eye(2)[toxic.astype(int)]
+    target, order = np.eye(2)[toxic.astype(int)], rng.permutation(n)
+    # Batches are made up once: their subwords, each one's place among them, its share
+    # of its text (the average's weight) and the first of each text.
+    batches = []
+    for lo in range(0, n, BATCH):
+        bags = [(i, *np.unique(subwords([texts[i]])[0], return_counts=True)) for i in order[lo : lo + BATCH]]
+        bags = [x for x in bags if len(x[1])]
+        if bags:
+            size = np.array([len(x[1]) for x in bags])
+            unique, inverse = np.unique(np.concatenate([x[1] for x in bags]), return_inverse=True)
+            share = np.concatenate([x[2] / x[2].sum() for x in bags]).astype(np.float32)
+            batches.append((np.array([x[0] for x in bags]), size, unique, inverse.astype(np.int32), share))
     for _ in range(EPOCHS):
-        order = rng.permutation(n)
-        for lo in range(0, n, BATCH):
-            rows = [i for i in order[lo : lo + BATCH] if len(bags[i][0])]
-            if not rows:
-                continue
-            ids, count = np.concatenate([bags[i][0] for i in rows]), np.concatenate([bags[i][1] for i in rows]).astype(float)
-            size = np.array([len(bags[i][0]) for i in rows])
-            at = np.concatenate([[0], np.cumsum(size)[:-1]])
-            total = np.add.reduceat(count, at)
-            share = count / np.repeat(np.sqrt(total), size)  # averaged, times sqrt(n): a lone word still counts in a long text
-            x = np.add.reduceat(e[ids] * share[:, None], at)
+        for k in rng.permutation(len(batches)):
+            rows, size, unique, inverse, share = batches[k]
+            x = np.add.reduceat(e[unique][inverse] * share[:, None], np.cumsum(size) - size)
             z = x @ w + b
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             d = (p - target[rows]) / len(rows)
-            dx = d @ w.T
             dw, db = x.T @ d, d.sum(0)
-            unique, inverse = np.unique(ids, return_inverse=True)
-            pull = np.repeat(dx, size, axis=0) * share[:, None]
+            pull = np.repeat(d @ w.T, size, axis=0) * share[:, None]
             de = np.stack([np.bincount(inverse, pull[:, j], len(unique)) for j in range(DIM)], 1)
             ge[unique] += (de**2).mean(1)
             e[unique] -= RATE * de / np.sqrt(ge[unique])[:, None]
@@ -101,31 +100,45 @@ def held_out(doc_id) -> F.Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
-    """Train on a bounded sample of the labelled rows outside the held-out fold."""
+    """Train on a bounded sample of the labelled rows outside the held-out fold, in
+    one task; the driver gets the score of each bucket and the bias."""
     lab = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1)).select("doc_id", "toxic")
-    lab = lab.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES)
-    order = [F.xxhash64(F.col("doc_id")), "doc_id"]
-    rows = []
-    for kind in (0, 1):
-        # The sample's ids are chosen first, on narrow rows; a margin makes up for
-        # ids without a text of the size.
-        ids = lab.where(F.col("toxic") == kind).orderBy(*order).limit(2 * SAMPLE_ROWS[kind])
-        rows += [(bytes(r[0]), kind) for r in d.join(F.broadcast(ids), "doc_id").orderBy(*order).limit(SAMPLE_ROWS[kind]).select(F.col("text").cast("binary")).collect()]
-    weights, bias = train([t for t, _ in rows], np.array([k for _, k in rows]))
-    # The sample's classes aren't in the labels' proportion; the bias makes up for it.
+    lab = lab.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).select(F.col("doc_id").alias("of"), "toxic")
     share = {r[0]: r[1] for r in lab.groupBy("toxic").count().collect()}
-    drawn = {k: sum(y == k for _, y in rows) for k in (0, 1)}
-    if all(drawn.values()):
-        bias += math.log(share[1] / share[0]) - math.log(drawn[1] / drawn[0])
-    return weights, bias
+    # A share of the ids by their hash, twice the bound in expectation, since some
+    # have no text of the size; so the sample is the same however rows are dealt.
+    place = F.pmod(F.xxhash64("of"), F.lit(1 << 40))
+    few = [(F.col("toxic") == k) & (place < int(min(1.0, 2 * SAMPLE_ROWS[k] / n) * (1 << 40))) for k, n in share.items()]
+    if not few:
+        return np.zeros(BUCKETS, np.float32), 0.0
+    ids = lab.where(few[0] | few[-1]).select("of", "toxic", place.alias("place"))
+    d = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES)
+    rows = d.join(F.broadcast(ids), F.col("doc_id") == F.col("of")).select("place", "doc_id", F.col("toxic").cast("int").alias("toxic"), "text")
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, toxic, drawn, size = [], [], [0, 0], [0, 0]
+        for batch in batches:
+            for k, t in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist()):
+                if drawn[k] < SAMPLE_ROWS[k] and size[k] + len(t) <= SAMPLE_TOTAL:
+                    texts.append(t)
+                    toxic.append(k)
+                    drawn[k], size[k] = drawn[k] + 1, size[k] + len(t)
+        weights, bias = train(texts, np.array(toxic))
+        if all(drawn):
+            # The sample's classes aren't in the labels' proportion; the bias makes up for it.
+            bias += math.log(share[1] / share[0]) - math.log(drawn[1] / drawn[0])
+        yield pa.RecordBatch.from_arrays([pa.array([weights.astype(np.float32).tobytes()], pa.binary()), pa.array([bias], pa.float64())], ["weights", "bias"])
+
+    sample = rows.repartition(1).sortWithinPartitions("place", "doc_id", "text")
+    found = sample.mapInArrow(learn, "weights binary, bias double").collect()
+    return (np.frombuffer(found[0][0], np.float32), found[0][1]) if found else (np.zeros(BUCKETS, np.float32), 0.0)
 
 
 def score_texts(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
     """docs (doc_id, text) with a score from 0 to 1; null and empty texts get that
     of the bias alone. Every byte of every text is read, in chunks."""
     weights, bias = model
-    held = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
+    held = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = held.value
@@ -135,7 +148,7 @@ def score_texts(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
                 texts = [t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()]
                 ids, of = subwords(texts)
                 total = np.bincount(of, minlength=len(texts))
-                z = np.bincount(of, s[ids], len(texts)) / np.sqrt(np.maximum(total, 1)) + bias
+                z = np.bincount(of, s[ids], len(texts)) / np.maximum(total, 1) + bias
                 scores.append(1 / (1 + np.exp(-np.clip(z, -60, 60))))
             if scores:
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.concatenate(scores), pa.float64())], ["doc_id", "score"])
