@@ -5,6 +5,8 @@ Filtering stages return the columns of documents; the last returns packed pieces
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,9 +15,15 @@ from tidelog.llm.common import table, written
 
 
 def _keep(docs: DataFrame, judged: DataFrame, good) -> DataFrame:
-    """The rows of docs whose doc_id is judged good; doc_id is unique."""
-    ids = judged.where(good).select(F.col("doc_id").alias("kept_id"))
-    return docs.join(ids, docs["doc_id"] == F.col("kept_id"), "left_semi")
+    """The rows of docs whose doc_id is judged good.
+
+    A doc_id names a document: rows that share one (null counts as one) stay or go
+    together, and stay if any of them is judged good, so nothing clean is lost. All
+    columns of docs stay as they are, whatever their names.
+    """
+    name = f"kept_{uuid.uuid4().hex}"
+    ids = judged.where(good).select(F.col("doc_id").alias(name))
+    return docs.join(ids, docs["doc_id"].eqNullSafe(F.col(name)), "left_semi")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
