@@ -42,6 +42,34 @@ def test_versions(spark):
     assert V.successor("a\U0010ffff") == "b" and V.successor("\U0010ffff") is None
 
 
+def test_hot_key(spark, monkeypatch):
+    """A history cut into stretches gives what one window gives, ties included."""
+    import random
+
+    r = random.Random(1)
+    data = [(r.choice("aaab"), seq, kind, None if kind == 0 else f"v{seq}") for seq in range(1, 400) for kind in ((0, 1) if r.random() < 0.1 else (int(r.random() < 0.7),)) if r.random() < 0.8]
+    x = log(spark, data)
+    asks = spark.createDataFrame([(r.choice("abc"), r.randrange(420), i) for i in range(80)], "k string, at long, n int")
+    plans = (V.validity, V.expected_seq, V.incarnations, lambda y: V.change_feed(y, 200), lambda y: V.as_of_join(asks, y))
+    whole = [sorted(map(repr, f(x).collect())) for f in plans]
+    monkeypatch.setattr(V, "STRETCH", 3)
+    assert [sorted(map(repr, f(x).collect())) for f in plans] == whole
+    by_key = {k: sorted((s, kind, v) for kk, s, kind, v in data if kk == k) for k in "ab"}
+    for row in V.as_of_join(asks, x).collect():
+        seen = [y for y in by_key.get(row.k, []) if y[0] <= row["at"]]
+        want = seen[-1] if seen and seen[-1][1] else (None, None, None)
+        assert (row.found_seq, row.found_v) == (want[0], want[2])
+    for row in V.incarnations(x).collect():
+        start = None
+        last = 0
+        for s, kind, _ in by_key[row.k]:
+            start = s if kind and not last else start
+            last = kind
+            if (s, kind) == (row.seq, 1):
+                break
+        assert row.create_seq == start
+
+
 def test_admit(spark):
     x = log(spark, [("a", 1, 1, "v")])
     w = spark.createDataFrame([("a", 0), ("a", 1), ("n", 0)], "k string, expect long")

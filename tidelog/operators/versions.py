@@ -65,24 +65,55 @@ def page(log: DataFrame, size: int, after: str | None = None) -> DataFrame:
     return rows.orderBy("k").limit(size)
 
 
-def _history() -> Window:
-    return Window.partitionBy("k").orderBy("seq", F.desc("kind"))
+#: Seqs of a key's history that one window sorts: a key, however hot, is cut into
+#: stretches of 2 ** STRETCH seqs, which windows over one row a stretch then join.
+STRETCH = 20
+ORDER = ["seq", "kind"]
+
+
+def _stretched(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("_s", F.shiftright("seq", STRETCH))
+
+
+def _beside(log: DataFrame, value: str, name: str, after: bool = False) -> DataFrame:
+    """log with the value that the version before (or after) each has of its key."""
+    step, end = (F.lead, F.min_by) if after else (F.lag, F.max_by)
+    rows = _stretched(log)
+    held = F.struct(F.col(value).alias("x"))  # null only where there is no neighbour
+    ends = rows.groupBy("k", "_s").agg(end(held, F.struct(*ORDER)).alias("_e"))
+    ends = ends.withColumn("_e", step("_e").over(Window.partitionBy("k").orderBy("_s"))).where("_e is not null")
+    rows = rows.withColumn("_n", step(held).over(Window.partitionBy("k", "_s").orderBy(*ORDER)))
+    out = rows.join(ends, ["k", "_s"], "left").withColumn(name, F.coalesce("_n", "_e")["x"])
+    return out.select(*log.columns, name)
+
+
+def _carried(rows: DataFrame, value: str, name: str, order: list[str]) -> DataFrame:
+    """rows with the newest value that is not null at or before each, by key and order
+    (seq first)."""
+    s = _stretched(rows)
+    ends = s.where(F.col(value).isNotNull()).groupBy("k", "_s").agg(F.max_by(value, F.struct(*order)).alias("_e"))
+    all_ = s.select("k", "_s").distinct().join(ends, ["k", "_s"], "left")
+    before = Window.partitionBy("k").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    all_ = all_.withColumn("_e", F.last("_e", ignorenulls=True).over(before)).where("_e is not null")
+    inside = Window.partitionBy("k", "_s").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    s = s.withColumn("_n", F.last(value, ignorenulls=True).over(inside))
+    return s.join(all_, ["k", "_s"], "left").withColumn(name, F.coalesce("_n", "_e")).select(*rows.columns, name)
 
 
 def change_feed(log: DataFrame, after: int) -> DataFrame:
     """Changes above a seq with the value they replace.
 
     Of the versions at or below the bound only the newest of each key matters, so
-    the window sorts the changes and one row a key besides, not the whole log.
+    the windows sort the changes and one row a key besides, not the whole log.
     """
     base = newest(log.where(F.col("seq") <= after)).withColumn("old", F.lit(True))
     rows = log.where(F.col("seq") > after).withColumn("old", F.lit(False)).unionByName(base)
-    return rows.withColumn("prev_v", F.lag("v").over(_history())).where("not old").drop("old")
+    return _beside(rows, "v", "prev_v").where("not old").drop("old")
 
 
 def validity(log: DataFrame) -> DataFrame:
     """Each version with the seq at which it ends (null: still newest)."""
-    return log.withColumn("next_seq", F.lead("seq").over(_history()))
+    return _beside(log, "seq", "next_seq", after=True)
 
 
 def retained(log: DataFrame, horizon: int) -> DataFrame:
@@ -98,16 +129,16 @@ def all_versions(log: DataFrame) -> DataFrame:
 
 def expected_seq(log: DataFrame) -> DataFrame:
     """Each write with the seq an optimistic writer must have named (0: absent)."""
-    return log.withColumn("expected_seq", F.coalesce(F.lag("seq").over(_history()), F.lit(0).cast("long")))
+    return _beside(log, "seq", "expected_seq").withColumn("expected_seq", F.coalesce("expected_seq", F.lit(0).cast("long")))
 
 
 def incarnations(log: DataFrame) -> DataFrame:
-    """Sets with the seq at which the present life of their key began: the first set
-    after the newest delete before them, found in one pass of the sorted history."""
-    w = _history().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = F.coalesce(F.lag("kind").over(_history()), F.lit(DELETE))
-    rows = log.withColumn("first", F.when((F.col("kind") == SET) & (before == DELETE), F.col("seq")))
-    return rows.withColumn("create_seq", F.last("first", ignorenulls=True).over(w)).where(F.col("kind") == SET).drop("first")
+    """Sets with the seq at which the present life of their key began: that of the
+    newest set up to them whose version before is a delete or none."""
+    rows = _beside(log, "kind", "_before")
+    first = (F.col("kind") == SET) & (F.coalesce("_before", F.lit(DELETE)) == DELETE)
+    rows = _carried(rows.withColumn("_first", F.when(first, F.col("seq"))), "_first", "create_seq", ORDER)
+    return rows.where(F.col("kind") == SET).drop("_before", "_first")
 
 
 def merge_runs(*runs: DataFrame) -> DataFrame:
@@ -126,7 +157,7 @@ def as_of_join(asks: DataFrame, log: DataFrame) -> DataFrame:
     """asks (k, at, ...) each with the version visible at its own seq `at`: found_seq
     and found_v, null where the key is absent or deleted then.
 
-    Both sides are one sorted stream a key: the newest version so far is carried to
+    Both sides are one sorted history a key: the newest version so far is carried to
     the asks behind it, so nothing is paired by ranges. A version at seq `at` counts.
     """
     extra = [c for c in asks.columns if c not in ("k", "at")]
@@ -135,8 +166,7 @@ def as_of_join(asks: DataFrame, log: DataFrame) -> DataFrame:
     none = F.lit(None).cast(a.schema["ask"].dataType)
     rows = log.select("k", "seq", F.col("kind").alias("order"), none.alias("ask"), F.struct(F.col("seq").cast("long").alias("seq"), F.col("kind").cast("int").alias("kind"), "v").alias("x"))
     # At one seq a delete (0) comes before a set (1), which wins, and asks come last.
-    w = Window.partitionBy("k").orderBy("seq", "order").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = rows.unionByName(a).withColumn("now", F.last("x", ignorenulls=True).over(w)).where("ask is not null")
+    both = _carried(rows.unionByName(a), "x", "now", ["seq", "order"]).where("ask is not null")
     alive = F.col("now.kind") == SET
     return both.select("k", F.col("seq").cast(kinds["at"].dataType).alias("at"), *[F.col(f"ask.{c}").alias(c) for c in extra], F.when(alive, F.col("now.seq")).alias("found_seq"), F.when(alive, F.col("now.v")).alias("found_v"))
 

@@ -34,7 +34,7 @@ HORIZON, FEED_FROM, AS_OF = 5000, 9000, 5000
 LIVE = f"SELECT k, seq, v FROM ({NEWEST_SQL.format(src='log')})"
 
 
-def _history(order: str = "seq, kind DESC") -> str:
+def _history(order: str = "seq, kind") -> str:
     return f"OVER (PARTITION BY k ORDER BY {order})"
 
 
