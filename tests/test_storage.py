@@ -108,6 +108,22 @@ def test_log(spark, tmp_path):
         log.read_all()
 
 
+def test_log_many_parts(spark, tmp_path):
+    """More parts than tasks, so that one batch holds several."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:
+        log = wal.Log(spark, str(tmp_path))
+        rows = spark.range(500).selectExpr("id", "cast(concat('r', id) as binary) as data")
+        held = rows.repartitionByRange(9, "id")
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+        assert log.append(held, "id") >= 2
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert [bytes(x.data) for x in log.read_all().collect()] == [b"r%d" % i for i in range(500)]
+
+
 def test_rotate():
     r = np.random.default_rng(3)
     for limit in (0, 1, 50, 1000):

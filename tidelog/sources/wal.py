@@ -134,10 +134,11 @@ class Log:
 
         def total(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for f in frames:
-                data = pa.array(f["data"], pa.large_binary(), from_pandas=True)
-                size = np.array([len(x or b"") for x in f["data"]], np.int64)
-                last = crc.chained(crc.crc32c_all(data), size)[-1:]
-                yield pd.DataFrame({"part": f["part"].iloc[:1], "crc": last.astype(np.int64), "size": [int(size.sum())] * len(last)})
+                for p, g in f.groupby("part", sort=False):
+                    data = pa.array(g["data"], pa.large_binary(), from_pandas=True)
+                    size = np.array([len(x or b"") for x in g["data"]], np.int64)
+                    last = crc.chained(crc.crc32c_all(data), size)[-1]
+                    yield pd.DataFrame({"part": [p], "crc": [int(last)], "size": [int(size.sum())]})
 
         by_part = held.repartitionByRange("part").sortWithinPartitions("part", "at", "data").mapInPandas(total, "part int, crc long, size long")
         # One row a batch of a part, in order within the part; the seed of each part follows.
