@@ -14,9 +14,11 @@ def folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
-        if not context.master.startswith("local["):
+        if not context.master.startswith("local[") and context.master != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        top = _local.setdefault(context.applicationId, "") or _local.update({context.applicationId: tempfile.mkdtemp(prefix="shared-")}) or _local[context.applicationId]
+        if context.applicationId not in _local:
+            _local[context.applicationId] = tempfile.mkdtemp(prefix="shared-")
+        top = _local[context.applicationId]
     own = f"{top.rstrip('/')}/{context.applicationId}-log"
     if own not in _made:
         _made.add(own)
