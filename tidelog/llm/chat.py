@@ -11,6 +11,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import table
 
@@ -35,7 +36,7 @@ def fingerprint(paths: set[str]) -> str:
 #: Layouts: field paths, and the turns they hold: (list path or None, role, text).
 #: A role that starts with "=" is fixed, any other names a field.
 LAYOUTS = [
-    ({"conv_id", "turn", "role", "text"}, [(None, "role", "text")]),
+    ({"role", "text"}, [(None, "role", "text")]),
     ({"messages[].role", "messages[].content"}, [("messages", "role", "content")]),
     ({"conversations[].from", "conversations[].value"}, [("conversations", "from", "value")]),
     ({"prompt", "completion"}, [(None, "=user", "prompt"), (None, "=assistant", "completion")]),
@@ -44,13 +45,26 @@ LAYOUTS = [
     ({"instruction", "output"}, [(None, "=user", "instruction"), (None, "=assistant", "output")]),
     ({"instruction", "input", "output"}, [(None, "=user", "instruction+input"), (None, "=assistant", "output")]),
 ]
+KNOWN = set().union(*(paths for paths, _ in LAYOUTS))
 MAPPINGS = {fingerprint(paths): steps for paths, steps in LAYOUTS}
+# A list without elements has no paths below it, and no turns.
+MAPPINGS |= {fingerprint({f"{steps[0][0]}[]"}): steps for _, steps in LAYOUTS if steps[0][0]}
+KNOWN |= {f"{steps[0][0]}[]" for _, steps in LAYOUTS if steps[0][0]}
 
 
-def turns_of(record: dict) -> list[tuple[str, str]]:
-    """Canonical (role, text) turns of a record; [] for a layout without a mapping."""
+def mapping(paths: set[str]) -> list[tuple] | None:
+    """The mapping that the fingerprint of the paths selects, those that no layout has
+    left aside; None if there is none."""
+    return MAPPINGS.get(fingerprint(paths & KNOWN))
+
+
+def turns_of(record: dict) -> list[tuple[str, str]] | None:
+    """Canonical (role, text) turns of a record; None for a layout without a mapping."""
+    steps = mapping(field_paths(record))
+    if steps is None:
+        return None
     out = []
-    for path, role, text in MAPPINGS.get(fingerprint(field_paths(record)), []):
+    for path, role, text in steps:
         for x in [record] if path is None else record[path]:
             name = role[1:] if role[0] == "=" else x.get(role) or ""
             parts = [str(x[f]) for f in text.split("+") if x.get(f) is not None]
@@ -59,32 +73,71 @@ def turns_of(record: dict) -> list[tuple[str, str]]:
 
 
 def json_turns(records: DataFrame) -> DataFrame:
-    """Turns of records (conv_id, record: a JSON object); null or broken JSON, and
-    layouts without a mapping, give none."""
+    """Turns of records (conv_id, record: a JSON object), each by its own fingerprint. A
+    record that unmapped() lists gives one turn without role and text, so that no
+    conversation disappears unseen; one with an empty list gives none."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows = []
             for key, text in zip(f.conv_id, f.record):
-                try:
-                    record = json.loads(text) if text is not None else None
-                except ValueError:
-                    record = None
-                rows += [(key, 0, i, r, t) for i, (r, t) in enumerate(turns_of(record) if isinstance(record, dict) else [])]
+                turns = turns_of(_object(text))
+                rows += [(key, 0, i, r, t) for i, (r, t) in enumerate([(None, None)] if turns is None else turns)]
             yield pd.DataFrame(rows, columns=["conv_id", "turn", "place", "role", "text"])
 
     return records.select("conv_id", "record").mapInPandas(run, TURNS)
 
 
+def _object(text: str | None) -> dict:
+    """The JSON object of a text; {} for null, broken JSON and other values."""
+    try:
+        record = json.loads(text) if text is not None else None
+    except ValueError:
+        record = None
+    return record if isinstance(record, dict) else {}
+
+
+def unmapped(records: DataFrame) -> DataFrame:
+    """(conv_id, fingerprint) of the records whose layout has no mapping."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            found = [(k, field_paths(_object(t))) for k, t in zip(f.conv_id, f.record)]
+            yield pd.DataFrame([(k, fingerprint(p)) for k, p in found if mapping(p) is None], columns=["conv_id", "fingerprint"])
+
+    return records.select("conv_id", "record").mapInPandas(run, "conv_id long, fingerprint string")
+
+
+def schema_paths(kind: T.DataType, at: str = "") -> set[str]:
+    """field_paths() of what rows of a type look like."""
+    if isinstance(kind, T.StructType):
+        return set().union(*(schema_paths(f.dataType, f"{at}.{f.name}" if at else f.name) for f in kind)) if kind.fields else {at}
+    return schema_paths(kind.elementType, f"{at}[]") if isinstance(kind, T.ArrayType) else {at}
+
+
 def row_turns(rows: DataFrame) -> DataFrame:
-    """Turns of a table with one row a turn. The table's own field paths are the
-    fingerprint, so the mapping is chosen once and runs in the JVM."""
-    rows = rows.select("conv_id", "turn", "role", "text")
-    [(_, role, text)] = MAPPINGS[fingerprint(set(rows.columns))]
-    role = F.coalesce(F.col(role), F.lit(""))
-    for a, b in ROLES.items():
-        role = F.when(role == a, b).otherwise(role)
-    return rows.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.lit(0).alias("place"), role.alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    """Turns of a table whose columns have any of the layouts: the fingerprint of the
+    nested paths of its schema selects the mapping, which runs in the JVM. Columns of
+    no layout are left aside; ValueError for a table without a mapping."""
+    steps = mapping(schema_paths(rows.schema))
+    if steps is None:
+        raise ValueError(f"no mapping for {sorted(schema_paths(rows.schema))}")
+
+    def turn(x, place, role, text):
+        role = F.lit(role[1:]) if role[0] == "=" else F.coalesce(x(role).cast("string"), F.lit(""))
+        for a, b in ROLES.items():
+            role = F.when(role == a, b).otherwise(role)
+        parts = [F.coalesce(x(f).cast("string"), F.lit("")) for f in text.split("+")]
+        text = parts[0] if len(parts) == 1 else F.array_join(F.array_remove(F.array(*parts), ""), "\n\n")
+        return F.struct(place.cast("int").alias("place"), role.alias("role"), text.alias("text"))
+
+    path, role, text = steps[0]
+    if path is None:
+        turns = F.array(*[turn(F.col, F.lit(i), role, text) for i, (_, role, text) in enumerate(steps)])
+    else:
+        turns = F.transform(path, lambda x, i: turn(lambda f: x[f], i, role, text))
+    number = F.col("turn").cast("long") if "turn" in rows.columns else F.lit(0).cast("long")
+    return rows.select(F.col("conv_id").cast("long").alias("conv_id"), number.alias("turn"), F.explode(turns).alias("x")).select("conv_id", "turn", "x.place", "x.role", "x.text")
 
 
 def escape(text: str) -> str:
@@ -156,7 +209,8 @@ def format_chats(turns: DataFrame) -> DataFrame:
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     hard = r"\### Assistant: </turn> ok"
     more = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    # The table as it is: its own field paths select how it becomes turns.
+    rows = table(spark, sf_dir, "conversations").unionByName(more, allowMissingColumns=True)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
