@@ -28,7 +28,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not folder:
         held = context._jsc.sc().getCheckpointDir()
         if not held.isDefined():
-            if not context.master.startswith("local["):
+            if not context.master.startswith("local[") and context.master != "local":
                 raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="shared-"))
             held = context._jsc.sc().getCheckpointDir()
@@ -105,6 +105,22 @@ def hot_left_join(left: DataFrame, groups: DataFrame, keys: list[str], size: str
     return out.select(*left.columns, *got)
 
 
+def passing(rows: DataFrame, id_: str, ids: DataFrame, bits: int) -> DataFrame:
+    """rows with the column `maybe`: true for all whose id is among the one column of
+    ids, false for nearly all others while the ids are few against bits (a power of two).
+
+    The filter is broadcast: bits / 64 rows at most, of two numbers, however many ids.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c.cast("long")), F.lit(bits))
+    at = ids.select(place(F.col(ids.columns[0])).alias("at"))
+    held = at.select(F.shiftright("at", 6).alias("filter_word"), F.expr("shiftleft(1L, cast(at & 63 as int))").alias("bit"))
+    held = held.groupBy("filter_word").agg(F.bit_or("bit").alias("filter_bits"))
+    own = place(F.col(id_))
+    hit = F.call_function("shiftright", F.col("filter_bits"), own.bitwiseAND(F.lit(63).cast("long")).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
+    out = rows.join(F.broadcast(held), F.shiftright(own, 6) == F.col("filter_word"), "left")
+    return out.withColumn("maybe", F.coalesce(hit, F.lit(False))).drop("filter_word", "filter_bits")
+
+
 def rows_of(batches: Iterator[pa.RecordBatch], text: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut so that the text column of each has about limit bytes,
     or one row where that row alone has more."""

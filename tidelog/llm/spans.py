@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hot_left_join, rows_of, table, written
+from .common import hot_left_join, passing, rows_of, table, written
 from .words import SEQ, Spans, U, mix, sliding, words
 
 #: Words of a window; anchors are GRAM-word hashes that are least among RUN
@@ -19,8 +19,9 @@ WINDOW, GRAM = 50, 16
 RUN = WINDOW - GRAM + 1
 #: Stands for the end of a document of any length.
 END = 2**31 - 1
-#: Ids of documents with shared anchors up to which these (8 bytes each) are broadcast.
-BROADCAST_IDS = 1_000_000
+#: Bits of the filter of ids with shared anchors, whose size is the same at all sizes of
+#: the data; texts that it lets pass are shuffled to their ranges, the others are not.
+FILTER_BITS = 1 << 25
 
 
 def anchors_of(h: np.ndarray, doc: np.ndarray, spans: Spans) -> tuple[np.ndarray, np.ndarray]:
@@ -46,7 +47,7 @@ def covered(ranges: list[dict], n: int) -> np.ndarray:
 
 
 def anchors(docs: DataFrame) -> DataFrame:
-    """doc_id, at (place), anchor, block: the hash of all words from this anchor to
+    """doc_id, key, at (place), anchor, block: the hash of all words from this anchor to
     the end of the next one of the document (at its last: to the document's end),
     head: at the first, the hash of all words up to its end."""
 
@@ -65,9 +66,10 @@ def anchors(docs: DataFrame) -> DataFrame:
             block = other.of(p, np.where(last, w.first[doc + 1], np.append(p[1:], 0) + GRAM))
             block[last] = mix(block[last])
             head = other.of(w.first[doc], p + GRAM)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[doc], pa.int64()), pa.array((p - w.first[doc]).astype(np.int32)), pa.array(g[p].view(np.int64)), pa.array(block.view(np.int64)), pa.array(head.view(np.int64), mask=~first)], ["doc_id", "at", "anchor", "block", "head"])
+            keys = b.column("key").to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[doc], pa.int64()), pa.array(keys[doc], pa.int64()), pa.array((p - w.first[doc]).astype(np.int32)), pa.array(g[p].view(np.int64)), pa.array(block.view(np.int64)), pa.array(head.view(np.int64), mask=~first)], ["doc_id", "key", "at", "anchor", "block", "head"])
 
-    return docs.mapInArrow(run, "doc_id long, at int, anchor long, block long, head long")
+    return docs.mapInArrow(run, "doc_id long, key long, at int, anchor long, block long, head long")
 
 
 def factors(at: np.ndarray, source: np.ndarray, source_at: np.ndarray, same: np.ndarray, head: np.ndarray, own: int) -> tuple[list, list, list]:
@@ -102,26 +104,22 @@ def factors(at: np.ndarray, source: np.ndarray, source_at: np.ndarray, same: np.
 
 
 def parsed(hits: DataFrame) -> DataFrame:
-    """hit_id, copies, open, need (anchors), own (anchors that begin here, with
+    """hit_id, hit_key, copies, open, need (anchors), own (anchors that begin here, with
     their places) of every document with shared anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for own, found in zip(b.column(0).to_pylist(), b.column(1)):
+            for own, key, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 x = {k: found.values.field(k).to_numpy(zero_copy_only=False) for k in ("at", "source", "source_at", "same", "head", "anchor")}
                 copies, open_, need = factors(x["at"], x["source"], x["source_at"], x["same"], x["head"], own)
                 mine = x["source"] == own
-                rows.append((own, copies, open_, np.unique(x["anchor"][need]).tolist(), list(zip(x["at"][mine].tolist(), x["anchor"][mine].tolist()))))
+                rows.append((own, key, copies, open_, np.unique(x["anchor"][need]).tolist(), list(zip(x["at"][mine].tolist(), x["anchor"][mine].tolist()))))
             pair = lambda y, z, t: pa.list_(pa.struct([(y, pa.int32()), (z, t)]))
-            kinds = [pa.int64(), pair("s", "e", pa.int32()), pair("s", "e", pa.int32()), pa.list_(pa.int64()), pair("at", "anchor", pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] if k in (0, 3) else [dict(zip([f.name for f in t.value_type], v)) for v in r[k]] for r in rows], t) for k, t in enumerate(kinds)], ["hit_id", "copies", "open", "need", "own"])
+            kinds = [pa.int64(), pa.int64(), pair("s", "e", pa.int32()), pair("s", "e", pa.int32()), pa.list_(pa.int64()), pair("at", "anchor", pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] if k in (0, 1, 4) else [dict(zip([f.name for f in t.value_type], v)) for v in r[k]] for r in rows], t) for k, t in enumerate(kinds)], ["hit_id", "hit_key", "copies", "open", "need", "own"])
 
-    return hits.mapInArrow(run, "hit_id long, copies array<struct<s:int,e:int>>, open array<struct<s:int,e:int>>, need array<long>, own array<struct<at:int,anchor:long>>")
-
-
-def _few(ids: DataFrame) -> bool:
-    return ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return hits.mapInArrow(run, "hit_id long, hit_key long, copies array<struct<s:int,e:int>>, open array<struct<s:int,e:int>>, need array<long>, own array<struct<at:int,anchor:long>>")
 
 
 def substring_dedup(docs: DataFrame) -> DataFrame:
@@ -136,37 +134,42 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     earliest document that has a window never has it inside a factor, so none is
     missed. Where the ids concerned are few by count they go to the texts, and only
     texts with shared anchors are shuffled.
+    Texts meet their ranges in the same joins at every size; a filter of fixed size
+    keeps those without shared anchors out of the shuffle.
     Null and word-free texts keep nothing (hash of ''). Documents of fewer than
-    WINDOW words lose nothing. doc_id must be unique and not null.
+    WINDOW words lose nothing. Rows that share a doc_id are judged each against the
+    documents with smaller ones; rows without one lose nothing and are no source. Other
+    columns are ignored.
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    a = written(anchors(d))
+    d = d.withColumn("key", F.xxhash64("text"))
+    a = written(anchors(d.where("doc_id is not null")))
     place = F.struct("doc_id", "at", "block", "head")
     index = a.groupBy("anchor").agg(F.min(place).alias("source"), F.max("doc_id").alias("last"), F.count("*").alias("size"))
     index = index.where(F.col("last") > F.col("source.doc_id")).select("anchor", "size", F.col("source.doc_id").alias("source"), F.col("source.at").alias("source_at"), F.col("source.block").alias("source_block"), F.col("source.head").alias("source_head"))
     hits = hot_left_join(a, index, ["anchor"], "size", "doc_id", "inner")
     equal = lambda c: F.coalesce(F.col(c) == F.col(f"source_{c}"), F.lit(False)).alias("same" if c == "block" else c)
-    hits = hits.select("doc_id", F.struct("at", "source", "source_at", equal("block"), equal("head"), "anchor").alias("x"))
-    hits = hits.groupBy("doc_id").agg(F.sort_array(F.collect_list("x")).alias("anchors"))
+    hits = hits.select("doc_id", "key", F.struct("at", "source", "source_at", equal("block"), equal("head"), "anchor").alias("x"))
+    # Rows that repeat a doc_id and text have the same anchors, which count once.
+    hits = hits.groupBy("doc_id", "key").agg(F.sort_array(F.collect_set("x")).alias("anchors"))
     p = written(parsed(hits))
 
     need = p.select(F.explode("need").alias("need")).distinct()
-    own = p.select(F.col("hit_id").alias("own_id"), F.explode("own").alias("x")).select("own_id", "x.at", "x.anchor")
-    own = own.join(need, F.col("anchor") == F.col("need"), "left_semi").groupBy("own_id").agg(F.collect_list("at").alias("around"))
-    ranges = p.join(own, F.col("hit_id") == F.col("own_id"), "left").where("size(open) > 0 or around is not null")
+    own = p.select(F.col("hit_id").alias("own_id"), F.col("hit_key").alias("own_key"), F.explode("own").alias("x")).select("own_id", "own_key", "x.at", "x.anchor")
+    own = own.join(need, F.col("anchor") == F.col("need"), "left_semi").groupBy("own_id", "own_key").agg(F.collect_set("at").alias("around"))
+    ranges = p.join(own, (F.col("hit_id") == F.col("own_id")) & (F.col("hit_key") == F.col("own_key")), "left").where("size(open) > 0 or around is not null")
     near = lambda x: F.struct(F.greatest(x - (WINDOW - GRAM), F.lit(0)).alias("s"), (x + 1).alias("e"))
-    ranges = written(ranges.select("hit_id", "copies", F.concat("open", F.transform(F.coalesce("around", F.array().cast("array<int>")), near)).alias("open")))
-    few = _few(p)
-    ids = F.broadcast(p.select(F.col("hit_id").alias("few_id")))
-    concerned = d.join(ids, d["doc_id"] == F.col("few_id"), "left_semi") if few else d
-    texts = concerned.join(ranges, concerned["doc_id"] == F.col("hit_id")).select("doc_id", "text", "copies", "open")
+    ranges = written(ranges.select("hit_id", "hit_key", "copies", F.concat("open", F.transform(F.coalesce("around", F.array().cast("array<int>")), near)).alias("open")))
+    of = lambda id_, key: (F.col("doc_id") == F.col(id_)) & (F.col("key") == F.col(key))
+    texts = passing(d, "doc_id", ranges.select("hit_id"), FILTER_BITS).where("maybe")
+    texts = texts.join(ranges.hint("merge"), of("hit_id", "hit_key")).select("doc_id", "key", "text", "copies", "open")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows_of(batches, "text"):
             w = words(b.column("text"))
             one, two = (Spans(w.hash, s).grams(WINDOW) for s in SEQ)
             got = []
-            for i, (own, copies, open_) in enumerate(zip(*(b.column(c).to_pylist() for c in ("doc_id", "copies", "open")))):
+            for i, (own, key, copies, open_) in enumerate(zip(*(b.column(c).to_pylist() for c in ("doc_id", "key", "copies", "open")))):
                 n = int(w.first[i + 1] - w.first[i])
                 if n < WINDOW:
                     continue
@@ -174,16 +177,19 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
                 for x in copies:
                     wanted[x["s"] : max(min(x["e"], n) - WINDOW + 1, 0)] = False
                 start = np.flatnonzero(wanted)
-                got.append((own, start, w.first[i] + start))
+                got.append((own, key, start, w.first[i] + start))
             if got:
-                every = np.concatenate([x[2] for x in got])
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat([x[0] for x in got], [len(x[1]) for x in got]), pa.int64()), pa.array(np.concatenate([x[1] for x in got]).astype(np.int32)), pa.array(one[every].view(np.int64)), pa.array(two[every].view(np.int64))], ["doc_id", "start", "h1", "h2"])
+                every = np.concatenate([x[3] for x in got])
+                ids, keys = (pa.array(np.repeat([x[k] for x in got], [len(x[2]) for x in got]), pa.int64()) for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([ids, keys, pa.array(np.concatenate([x[2] for x in got]).astype(np.int32)), pa.array(one[every].view(np.int64)), pa.array(two[every].view(np.int64))], ["doc_id", "key", "start", "h1", "h2"])
 
-    windows = written(texts.mapInArrow(run, "doc_id long, start int, h1 long, h2 long"))
+    windows = written(texts.mapInArrow(run, "doc_id long, key long, start int, h1 long, h2 long"))
     first = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("size")).where("last > first").drop("last")
     dup = hot_left_join(windows, first, ["h1", "h2"], "size", "doc_id", "inner").where(F.col("first") < F.col("doc_id"))
-    dup = dup.groupBy("doc_id").agg(F.collect_list(F.struct(F.col("start").alias("s"), (F.col("start") + WINDOW).alias("e"))).alias("more")).withColumnRenamed("doc_id", "dup_id")
-    marks = p.join(dup, F.col("hit_id") == F.col("dup_id"), "left").select(F.col("hit_id").alias("mark_id"), F.concat("copies", F.coalesce("more", F.slice("copies", 1, 0))).alias("gone"))
+    dup = dup.groupBy(F.col("doc_id").alias("dup_id"), F.col("key").alias("dup_key")).agg(F.collect_set(F.struct(F.col("start").alias("s"), (F.col("start") + WINDOW).alias("e"))).alias("more"))
+    marks = p.join(dup, (F.col("hit_id") == F.col("dup_id")) & (F.col("hit_key") == F.col("dup_key")), "left")
+    marks = marks.select(F.col("hit_id").alias("mark_id"), F.col("hit_key").alias("mark_key"), F.concat("copies", F.coalesce("more", F.slice("copies", 1, 0))).alias("gone"))
+    marks = written(marks.where("size(gone) > 0"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows_of(batches, "text"):
@@ -194,13 +200,13 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
                 if gone:
                     w = [w[k] for k in np.flatnonzero(~covered([x for x in gone if min(x["e"], n) - x["s"] >= WINDOW], n))]
                 out.append((own, n, n - len(w), hashlib.sha256(b" ".join(w)).hexdigest()))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out]) for k in range(4)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+            kinds = [pa.int64()] * 3 + [pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     final = "doc_id long, n_words long, n_removed long, kept_sha256 string"
-    if not few:
-        return d.join(marks, d["doc_id"] == F.col("mark_id"), "left").select("doc_id", "text", "gone").mapInArrow(remove, final)
-    marked = concerned.join(marks, concerned["doc_id"] == F.col("mark_id")).select("doc_id", "text", "gone")
-    rest = d.join(ids, d["doc_id"] == F.col("few_id"), "left_anti").select("doc_id", "text", F.lit(None).cast("array<struct<s:int,e:int>>").alias("gone"))
+    d = passing(d, "doc_id", marks.select("mark_id"), FILTER_BITS)
+    marked = d.where("maybe").join(marks.hint("merge"), of("mark_id", "mark_key"), "left").select("doc_id", "text", "gone")
+    rest = d.where("not maybe").select("doc_id", "text", F.lit(None).cast("array<struct<s:int,e:int>>").alias("gone"))
     return marked.mapInArrow(remove, final).unionByName(rest.mapInArrow(remove, final))
 
 
