@@ -10,11 +10,13 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import rows_of, table
+from .words import U, Words, text_bytes, words
 
 #: (kind, pattern, group whose length counts, least length), in the contract's order.
 BASE = [
@@ -22,18 +24,25 @@ BASE = [
     ("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 18),
     ("hex", re.compile(r"[0-9a-f]+"), 0, 16),
 ]
+#: Signs that part tokens, and those of them that settings and code are full of.
+SEPARATORS, SIGNS = " \t\n\v\f\r\"'`=:<>(){}[],;|", "=:({[<"
 #: Every token of a text, after what parts it from the one before.
-TOKEN = re.compile(r"""([\s"'`=:<>(){}\[\],;|]*)([^\s"'`=:<>(){}\[\],;|]+)""")
+TOKEN = re.compile(rf"([{re.escape(SEPARATORS)}]*)([^{re.escape(SEPARATORS)}]+)")
+#: Number of each separator's byte, from 1 on; 0 for all others.
+PARTS = np.zeros(256, np.int64)
+PARTS[list(SEPARATORS.encode())] = np.arange(1, len(SEPARATORS) + 1)
 CUE = re.compile(r"(?:\w*[_.-])?(password|passwd|passphrase|pwd|secret|token|api_?key|key|bearer|auth|credentials?)[.?!]?", re.I | re.A)
 LONG_HEX = re.compile(r"[0-9a-f]{16}")
 OUT, BEGIN, IN = 0, 1, 2
-#: Hash buckets of features, and the bound of the training sample: documents with
-#: and without a base span, in the order of a hash of doc_id.
-BUCKETS, SAMPLE_ROWS, SAMPLE_BYTES = 4096, 400, 20_000
-EPOCHS, RATE, DECAY = 60, 0.5, 1e-3
+#: Hash buckets of features, and the bound of the training sample: rows drawn by a hash,
+#: of these the documents with and without a base span, and the bytes of one.
+BUCKETS, SAMPLE_DRAWN, SAMPLE_ROWS, SAMPLE_BYTES = 4096, 8000, 200, 20_000
+EPOCHS, RATE, DECAY, MARGIN = 30, 0.5, 1e-3, 8
+#: Texts with made-up secrets in their place, at least, as far as ten rounds go.
+ROUNDS = 150
 #: Tokens of a stretch, tokens a worker keeps, characters decoded at once and those
-#: that such pieces of a longer text share on either side.
-STRETCH, CACHE, CHARS, SHARED = 128, 1 << 18, 1 << 21, 1 << 12
+#: that such pieces of a longer text share on either side; tokens learnt together.
+STRETCH, CACHE, CHARS, SHARED, LESSON = 128, 1 << 18, 1 << 21, 1 << 12, 24
 LOW = -1e9
 
 
@@ -62,71 +71,111 @@ def bucket(name: str) -> int:
 
 SHAPE = str.maketrans("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "a" * 26 + "A" * 26 + "9" * 10)
 RUNS = re.compile(r"(.)\1+", re.S)
+VOWELS = re.compile("[aeiouyAEIOUY]")
 
 
 @functools.lru_cache(1 << 16)
-def common(kind: str, size: int, digits: int, shape: str) -> tuple[list[int], list[int]]:
+def common(kind: str, size: int, digits: int, shape: str, turns: int, vowels: int) -> tuple[list[int], list[int]]:
     """Features of all tokens of one shape, without and with a cue before them."""
-    own = [f"k{kind}", f"k{kind}{size}", f"d{digits}", f"s{size}", f"p{shape}"]
-    plain, near = ([bucket(x) for x in [*own, f"w{n}{kind}", f"w{n}s{size}", f"w{n}"]] for n in (False, True))
+    own = [f"k{kind}", f"k{kind}{size}", f"d{digits}", f"s{size}", f"p{shape}", f"t{turns}{size}", f"v{vowels}{size}"]
+    plain, near = ([bucket(x) for x in [*own, f"w{n}{kind}", f"w{n}s{size}", f"w{n}t{turns}", f"w{n}"]] for n in (False, True))
     return plain, near
 
 
+@functools.lru_cache(1 << 17)
 def shape_of(t: str) -> tuple[list[int], list[int], int, bool]:
     """Features of a token without and with a cue before it, the one it is for the
     token after it, and whether it is a cue."""
     shape = t[:64].translate(SHAPE)
+    runs = RUNS.sub(r"\1", shape)
     kind = "hex" if not t.strip("0123456789abcdef") else "up" if t.isupper() and t.isalnum() else "num" if not t.strip("0123456789.-") else "low" if t.isalpha() and t.islower() else "mix" if t.isalnum() else "sym"
-    plain, near = common(kind, min(len(t) // 4, 12), shape.count("9") * 4 // len(shape), RUNS.sub(r"\1", shape)[:6])
+    # How often the class of the characters changes, and vowels among the letters.
+    letters = shape.count("a") + shape.count("A")
+    vowels = len(VOWELS.findall(t[:64])) * 4 // letters if letters else 9
+    plain, near = common(kind, min(len(t) // 4, 12), shape.count("9") * 4 // len(shape), runs[:6], min(len(runs) * 4 // len(shape), 4), vowels)
     own = bucket(f"x{t[:4]}")
     return [*plain, own], [*near, own], bucket(f"l{t[-8:].lower()}"), CUE.fullmatch(t) is not None
 
 
+def file_of(signs: int, size: int) -> int:
+    """The feature that a text gives all its tokens: how many of them come after a sign
+    of settings or code, and its size."""
+    return bucket(f"f{min(signs * 8 // max(size, 1), 4)}{min(size.bit_length() // 3, 4)}")
+
+
 def features(text: str) -> np.ndarray:
     """Feature buckets of each token: shape, cues among the two tokens before it,
-    the token before it and the separators around it."""
+    the token before it, the separators around it, and the file's."""
     seps, toks, _, _ = tokens(text)
-    got, rows = [shape_of(t) for t in toks], []
+    got, rows, whole = [shape_of(t) for t in toks], [], file_of(sum(any(x in SIGNS for x in y) for y in seps), len(toks))
     for i, g in enumerate(got):
         near = any(x[3] for x in got[max(0, i - 2) : i])
         after = seps[i + 1][:1] if i + 1 < len(got) else ""
-        rows.append([*g[near], got[i - 1][2] if i else bucket("l"), bucket(f"b{seps[i][-2:]}"), bucket(f"a{after}")])
-    return np.array(rows, np.int64).reshape(len(rows), 12)
+        rows.append([*g[near], got[i - 1][2] if i else bucket("l"), bucket(f"b{seps[i][-2:]}"), bucket(f"a{after}"), whole])
+    return np.array(rows, np.int64) if rows else np.zeros((0, 1), np.int64)
 
 
-class Emission(dict):
-    """Rows of token scores by token, made when first met."""
+class Emission:
+    """Scores of tokens from rows that are made when a token is first met; the tokens,
+    by 64-bit hash, of all texts at once."""
 
     def __init__(self, state: np.ndarray):
-        super().__init__()
-        self.state, self.rows = state, np.zeros((1024, 10))
+        self.state = state
+        self.first = state[bucket("l")]
+        names = ["", *SEPARATORS]
+        self.after = np.array([state[bucket(f"a{x}")] for x in names])
+        self.before = np.array([[state[bucket(f"b{x}{y}")] for y in names] for x in names])
+        self.forget()
+
+    def forget(self) -> None:
+        self.known, self.rows = np.zeros(0, U), np.zeros((0, 10))
 
-    def meet(self, new: list[str]) -> None:
+    def meet(self, keys: np.ndarray, new: list[str]) -> None:
         got = [shape_of(t) for t in new]
         plain, near, after = (self.state[np.array([g[i] for g in got])] for i in range(3))
         rows = np.concatenate([plain.sum(1), near.sum(1), after, np.array([[g[3]] for g in got])], 1)
-        while len(self) + len(new) > len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[len(self) : len(self) + len(new)] = rows
-        self.update(zip(new, range(len(self), len(self) + len(new))))
-
-    def scores(self, seps: list[str], toks: list[str]) -> np.ndarray:
-        """What Chain.scores() gives for features(), from the kept rows."""
-        if len(self) > CACHE:
-            self.clear()
-        if new := [t for t in set(toks) if t not in self]:
-            self.meet(new)
-        at = np.fromiter(map(self.__getitem__, toks), np.int64, len(toks))
-        r = self.rows[at]
-        cue = np.concatenate([[0, 0], r[:, 9]])
-        near = (cue[1:-1] + cue[:-2]) > 0
+        order = np.argsort(keys)
+        place = np.searchsorted(self.known, keys[order])
+        self.known, self.rows = np.insert(self.known, place, keys[order]), np.insert(self.rows, place, rows[order], axis=0)
+
+    def scores(self, w: Words, off: np.ndarray) -> np.ndarray:
+        """What Chain.scores() gives for features(), of the tokens of texts that lie at
+        off in the data."""
+        which, keys = pd.factorize(w.hash)
+        if len(self.known) > CACHE:
+            self.forget()
+        place = np.searchsorted(self.known, keys)
+        new = np.ones(len(keys), bool)
+        old = np.flatnonzero(place < len(self.known))
+        new[old] = self.known[place[old]] != keys[old]
+        if new.any():
+            at = np.zeros(len(keys), np.int64)
+            at[which] = np.arange(len(which))
+            texts = [w.data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(w.start[at[new]].tolist(), w.end[at[new]].tolist())]
+            self.meet(keys[new], texts)
+            place = np.searchsorted(self.known, keys)
+        r = self.rows[place][which]
+        one, two = (np.concatenate([np.zeros(k, bool), w.doc[k:] == w.doc[:-k]]) for k in (1, 2))
+        cue = r[:, 9] > 0
+        near = one & np.append(False, cue[:-1]) | two & np.concatenate([[False] * 2, cue[:-2]])[: len(cue)]
         out = np.where(near[:, None], r[:, 3:6], r[:, :3])
-        out[1:] += r[:-1, 6:9]
-        out[:1] += self.state[bucket("l")]
-        names = {x: i for i, x in enumerate({*seps, ""})}
-        part = np.fromiter(map(names.__getitem__, seps), np.int64, len(seps))
-        out += np.array([self.state[bucket(f"b{x[-2:]}")] for x in names])[part]
-        return out + np.array([self.state[bucket(f"a{x[:1]}")] for x in names])[np.append(part[1:], names[""])]
+        out += np.where(one[:, None], np.concatenate([np.zeros((1, 3)), r[:-1, 6:9]]), self.first)
+        # Separators: up to two before a token, in its text, and the one after it.
+        code = np.concatenate([[0, 0], PARTS[w.data], [0]])
+        begin = off[w.doc]
+        last = np.where(w.start - 1 >= begin, code[w.start + 1], 0)
+        out += self.before[np.where((w.start - 2 >= begin) & (last > 0), code[w.start], 0), last]
+        inner = np.append(one[1:], False)
+        out += self.after[np.where(inner, code[w.end + 2], 0)]
+        sign = np.cumsum(np.append(0, SIGN[w.data]))
+        since = np.where(one, np.append(0, w.end[:-1]), begin)
+        signs = np.bincount(w.doc, sign[w.start] > sign[since], len(off)).astype(int)
+        size = np.diff(w.first)
+        return out + np.array([self.state[file_of(x, y)] for x, y in zip(signs.tolist(), size.tolist())])[w.doc]
+
+
+SIGN = np.zeros(256, np.int64)
+SIGN[list(SIGNS.encode())] = 1
 
 
 class Chain:
@@ -136,7 +185,7 @@ class Chain:
         self.state, self.move = np.zeros((BUCKETS, 3)), np.zeros((3, 3))
 
     def scores(self, rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-        s = np.array([self.state[r].sum(0) for r in rows])
+        s = np.array([self.state[r].sum(0) for r in rows]).reshape(-1, 3)
         s[0, IN] = -1e9
         move = self.move.copy()
         move[OUT, IN] = -1e9
@@ -154,6 +203,35 @@ class Chain:
             out.append(int(b[out[-1]]))
         return out[::-1]
 
+    def best(self, s: np.ndarray, new: np.ndarray) -> np.ndarray:
+        """The best tags of chains in a row by their scores and a flag at the first token
+        of each: the same as decode(), which runs only where a span can pay at all.
+
+        A token can be tagged only if some stretch that holds it gains more, with every
+        token's best tag and the best moves, than being outside costs.
+        """
+        out = np.zeros(len(s), np.int8)
+        if not len(s):
+            return out
+        stay = self.move[OUT, OUT]
+        come = max(0.0, self.move[OUT, BEGIN] - stay, (self.move[1:, 1:] - stay).max())
+        leave = max(0.0, (self.move[1:, OUT] - stay).max())
+        total = np.cumsum(s[:, 1:].max(1) - s[:, OUT] + come)
+        low = np.minimum.accumulate(np.concatenate([[0.0], total[:-1]]))
+        high = np.maximum.accumulate(total[::-1])[::-1]
+        may = high - low + leave > -1e-6
+        # A neighbour on either side, of the same text, is outside and bounds the stretch.
+        end = np.append(new[1:], True)
+        near = may | np.append(may[1:], False) & ~end | np.concatenate([[False], may[:-1]]) & ~new
+        at = np.flatnonzero(near)
+        part = s[at]
+        part[~may[at], 1:] = LOW
+        first = new[at]
+        first[1:] |= np.diff(at) > 1
+        first[:1] = True
+        out[at] = self.decode(part, first)
+        return out
+
     def decode(self, s: np.ndarray, new: np.ndarray) -> np.ndarray:
         """viterbi() of chains in a row by their scores and a flag at the first token of
         each. Stretches are solved side by side for every state before them, then
@@ -190,7 +268,7 @@ class Chain:
     def learn(self, data: list[tuple[np.ndarray, list[int]]]) -> None:
         """Maximum likelihood with weight decay: AdaGrad on forward-backward marginals,
         of stretches side by side."""
-        data = [(r[a : a + STRETCH], g[a : a + STRETCH]) for r, g in data for a in range(0, len(r), STRETCH)]
+        data = [(r[a : a + LESSON], g[a : a + LESSON]) for r, g in data for a in range(0, len(r), LESSON)]
         if not data:
             return
         size = np.array([len(r) for r, _ in data])
@@ -228,36 +306,63 @@ class Chain:
             self.move += RATE * dm / np.sqrt(gm)
 
 
-def views(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, list[tuple[int, int]]]]:
+def values(r: random.Random) -> list[str]:
+    """Made-up secrets of kinds the base patterns don't have."""
+    pick = lambda n, a: "".join(r.choice(a) for _ in range(n))
+    low, up, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    word = low + up + digits
+    part = lambda: pick(r.randint(12, 40), word + "-_")
+    signs = pick(r.randint(3, 6), word) + r.choice("@$!#%") + pick(r.randint(4, 8), word) + r.choice("!?*&^") + pick(r.randint(1, 4), digits)
+    return [
+        pick(r.randint(14, 40), word), f"{pick(r.randint(2, 4), low)}_{pick(r.randint(20, 40), word)}", f"ey{part()}.{part()}.{part()}",
+        pick(r.randint(20, 44), word + "+/") + "==", pick(r.randint(16, 32), up + digits), f"{pick(2, low)}-{pick(r.randint(16, 40), word)}", signs,
+    ]
+
+
+def harmless(r: random.Random, words: list[str]) -> list[str]:
+    """Made-up tokens that look odd and are no secrets, some of words of the text."""
+    n, word = lambda a, b: str(r.randint(a, b)), lambda: r.choice(words or ["text"])
+    return [
+        f"{word()}.{n(1, 99)}@mail{n(1, 9)}.example.com", f"https://www.{word()}{n(1, 99)}.example.org/{word()}/{n(1, 9999)}", f"{n(1990, 2030)}-0{n(1, 9)}-{n(10, 28)}", f"{n(1, 255)}.{n(0, 255)}.{n(0, 255)}.{n(1, 255)}",
+        f"+{n(1, 99)}-{n(100, 999)}-{n(1000, 9999)}", f"v{n(1, 9)}.{n(0, 20)}.{n(0, 20)}", f"{word()}_{word()}_{n(1, 99)}", f"{word()}{word().title()}{word().title()}", f"{word()}{n(1, 99)}.html", f"{word()}{word()}".upper() + r.choice(["", "!!", "."]), f"{word()}{word()}" + r.choice(["###", "&&&", ","]), word(), word() + word() + word(),
+    ]
+
+
+def views(text: str, spans: list[tuple[str, int, int]], rounds: int = 1) -> list[tuple[str, list[tuple[int, int]]]]:
     """The text with its gold spans, and for its first assignment short texts no base
-    pattern fits: the value as letters or with signs after the cue and "is" or a
-    blank, and words of the text there instead, which are outside."""
+    pattern fits: other secrets, and harmless tokens, after a cue and a link or, the
+    context masked, among words of the text alone. Only what a reader would know by
+    its own look, or by the cue, is gold."""
     out = [(text, [(a, b) for _, a, b in spans])]
     r = random.Random(zlib.crc32(text.encode("utf-8", "surrogatepass")))
     for kind, a, b in spans:
         if kind != "assign":
             continue
         m = BASE[0][1].match(text, a)
-        near, after = " ".join(text[max(0, a - 40) : a].split()), " ".join(text[b : b + 40].strip("\"'").split())
-        plain = [w for w in after.split() + near.split() if w.isalpha()]
-        for link in (" ", " is ", ": ", " = "):
-            head = f"{near} {m[1]}{link}"
-            letters = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(12, 24)))
-            mixed = "".join(r.choice("abcdefghijkmnABCDEFGHIJK23456789") for _ in range(r.randint(8, 16)))
-            signs = mixed[:3] + r.choice("@$!#%") + mixed[3:8] + r.choice("!?*&^") + mixed[8:]
-            out += [(f"{head}{v} {after}", [(len(head), len(head) + len(v))]) for v in (letters, mixed, signs)]
-            if plain:
-                out.append((f"{head}{r.choice(plain)} {after}", []))
+        near, after = " ".join(text[max(0, a - 30) : a].split()), " ".join(text[b : b + 30].strip("\"'").split())
+        words = [w for w in after.split() + near.split() if w.isalpha()]
+        for link in (" ", " is ", " = ", None) * rounds:
+            head = f"{near} " if link is None else f"{near} {r.choice([m[1], 'passcode', 'bearer', 'key', 'auth'])}{link}"
+            secret, odd = r.sample(values(r), 3), r.sample(harmless(r, words), 3)
+            if link is not None:
+                secret.append("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(12, 24))))
+            out += [(f"{head}{v} {after}", [(len(head), len(head) + len(v))]) for v in secret]
+            out += [(f"{head}{v} {after}", []) for v in odd]
         break
     return out
 
 
 def train(texts: list[str]) -> Chain:
     """Fit to the base spans of a sample, and to views() of them: a token is inside
-    a span or outside."""
+    a span or outside. Without any base span there is nothing to learn and nothing is
+    ever tagged."""
+    if not any(map(base_spans, texts)):
+        return Chain()
     data = []
+    # A sample with few secrets shows each more often.
+    rounds = -(-ROUNDS // sum(any(k == "assign" for k, *_ in base_spans(t)) for t in texts)) if any(k == "assign" for t in texts for k, *_ in base_spans(t)) else 1
     for text in texts:
-        for view, spans in views(text, base_spans(text)):
+        for view, spans in views(text, base_spans(text), min(rounds, 10)):
             _, toks, start, end = tokens(view)
             gold, before = [], None
             for a, b, t in zip(start.tolist(), end.tolist(), toks):
@@ -269,27 +374,37 @@ def train(texts: list[str]) -> Chain:
             data.append((features(view), gold))
     model = Chain()
     model.learn(data)
+    # Opening a span costs more until the field tags nothing in the sample's own texts
+    # that no base span explains, so what it adds elsewhere stands out.
+    whole = [(t, base_spans(t)) for t in texts]
+    for _ in range(MARGIN):
+        found = tagged([t for t, _ in whole], model, Emission(model.state))
+        if all(any(a < s[2] and s[1] < b for s in spans) for (_, spans), tags in zip(whole, found) for a, b in tags):
+            break
+        model.move[OUT, BEGIN] -= 1
     return model
 
 
 def tagged(texts: list[str], model: Chain, emission: Emission) -> list[list[tuple[int, int]]]:
-    """Spans that the field tags in each text."""
-    found = [tokens(t) for t in texts]
-    score = [emission.scores(f[0], f[1]) for f in found]
-    size = np.array([len(x) for x in score], np.int64)
-    first = np.cumsum(size) - size
-    new = np.zeros(int(size.sum()), bool)
-    new[first[size > 0]] = True
-    tags, out = model.decode(np.concatenate([*score, np.zeros((0, 3))]), new), []
-    for (_, _, start, end), at, n in zip(found, first.tolist(), size.tolist()):
-        spans: list = []
-        tag = tags[at : at + n]
-        for i in np.flatnonzero(tag != OUT).tolist():
-            if tag[i] == BEGIN:
-                spans.append((int(start[i]), int(end[i])))
-            else:
-                spans[-1] = (spans[-1][0], int(end[i]))
-        out.append(spans)
+    """Spans that the field tags in each text, in code points."""
+    col = pa.array(texts, pa.large_string())
+    w = words(col, separator=PARTS > 0)
+    out: list[list[tuple[int, int]]] = [[] for _ in texts]
+    if not len(w.hash):
+        return out
+    off = text_bytes(col)[1]
+    tag = model.best(emission.scores(w, off[:-1]), np.append(True, w.doc[1:] != w.doc[:-1]))
+    for i in np.flatnonzero(tag != OUT).tolist():
+        doc = int(w.doc[i])
+        a, b = int(w.start[i] - off[doc]), int(w.end[i] - off[doc])
+        if tag[i] == BEGIN:
+            out[doc].append((a, b))
+        else:
+            out[doc][-1] = (out[doc][-1][0], b)
+    for doc, spans in enumerate(out):
+        if spans and off[doc + 1] - off[doc] > len(texts[doc]):
+            raw = texts[doc].encode()
+            out[doc] = [(len(raw[:a].decode()), len(raw[:b].decode())) for a, b in spans]
     return out
 
 
@@ -316,13 +431,28 @@ def all_spans(text: str, model: Chain) -> tuple[list, list]:
 
 
 def fit(docs: DataFrame) -> Chain:
-    """Train on a bounded sample of documents: SAMPLE_ROWS with a base span and as
-    many without, of at most SAMPLE_BYTES each."""
-    d = docs.select("doc_id", "text").where(F.octet_length("text") <= SAMPLE_BYTES)
-    hit = F.col("text").rlike(r"""(?i)(password|passwd|secret|token|api_?key)["']? *[:=] *["']?[A-Za-z0-9+/_.=-]{12}""") | F.col("text").rlike("AKIA[A-Z0-9]{14}|[0-9a-f]{16}")
-    order = [F.xxhash64(F.col("doc_id")), "doc_id", "text"]
-    rows = [r[0] for c in (hit, ~hit & F.col("text").rlike("[0-9]{4}")) for r in d.where(c).orderBy(*order).limit(SAMPLE_ROWS).select("text").collect()]
-    return train(rows)
+    """Train on a bounded sample, in one task: of SAMPLE_DRAWN rows in expectation, drawn
+    by a hash and of at most SAMPLE_BYTES each, the first SAMPLE_ROWS with a base span
+    and as many without. The driver gets the weights."""
+    n = docs.count()
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40))
+    d = docs.where(F.octet_length("text") <= SAMPLE_BYTES).select(place.alias("place"), "text")
+    d = d.where(F.col("place") < int(min(1.0, SAMPLE_DRAWN / max(n, 1)) * (1 << 40)))
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[bool, list[str]] = {False: [], True: []}
+        for text in (t.as_py() for b in batches for t in b.column("text")):
+            held = kept[bool(base_spans(text))]
+            if len(held) < SAMPLE_ROWS:
+                held.append(text)
+        model = train(kept[True] + kept[False])
+        yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.float64).tobytes()], pa.binary()) for x in (model.state, model.move)], ["state", "move"])
+
+    got = d.repartition(1).sortWithinPartitions("place", "text").mapInArrow(learn, "state binary, move binary").collect()
+    model = Chain()
+    if got:
+        model.state, model.move = np.frombuffer(got[0][0]).reshape(BUCKETS, 3).copy(), np.frombuffer(got[0][1]).reshape(3, 3).copy()
+    return model
 
 
 def scan_secrets(docs: DataFrame, model: Chain | None = None) -> DataFrame:

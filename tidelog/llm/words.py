@@ -68,12 +68,13 @@ def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0] : off[-1]], off - off[0]
 
 
-def words(col: pa.Array, lower: bool = False) -> Words:
+def words(col: pa.Array, lower: bool = False, separator: np.ndarray = SEPARATOR) -> Words:
+    """Words between bytes that `separator` marks, which are below 128."""
     data, off = text_bytes(col)
     n = len(off) - 1
     if lower:
         data = LOWERED[data]
-    inside = ~SEPARATOR[data]
+    inside = ~separator[data]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     at = off[:-1][off[:-1] < len(data)]
