@@ -25,8 +25,8 @@ LENGTH, END = 4096, 2
 QUEUES = 40
 #: Sources of one task that builds a part of the tree, on average.
 LEAVES = 4096
-#: Documents that one running sum covers, on average.
-RUN = 4096
+#: Documents that one running sum covers, on average, of all sources together.
+RUN = 1024
 #: Words whose ids a worker keeps between batches.
 CACHE = 1 << 20
 #: Stop and comma.
